@@ -78,12 +78,15 @@ def left_join_many(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     Spark can split a skewed partition of an outer join on its outer side only, so a hot
     key on the right would stay in one task. Written as the matches (an inner join, which
     splits on both sides) plus the left rows without a match (an anti join against the
-    distinct right keys), no task has to hold a hot key.
+    distinct right keys), no task has to hold a hot key. Both joins take the left rows with
+    a key, so they share one shuffle of them; rows without a key need no join at all.
     """
-    matched = left.join(right, key)
-    extra = [f for f in right.schema.fields if f.name != key]
-    unmatched = left.join(right.select(key).distinct(), key, "left_anti")
-    unmatched = unmatched.select(
-        "*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in extra)
-    )
-    return matched.unionByName(unmatched)
+    has_key = F.col(key).isNotNull()
+    keyed = left.where(has_key)
+    extra = [
+        F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name != key
+    ]
+    matched = keyed.join(right, key)
+    alone = keyed.join(right.select(key).distinct(), key, "left_anti").select("*", *extra)
+    keyless = left.where(~has_key).select(key, *(c for c in left.columns if c != key), *extra)
+    return matched.unionByName(alone).unionByName(keyless)

@@ -145,6 +145,17 @@ def _category_reviews(shop: Shop) -> DataFrame:
     return reviews.filter_reviews(_enriched(shop), CATEGORY)
 
 
+def _by_category(shop: Shop) -> DataFrame:
+    """The compact grain, for everything that counts or averages."""
+    return reviews.reviews_by_category(
+        shop.reviews, shop.items, shop.products, shop.translation
+    )
+
+
+def _category_scores(shop: Shop) -> DataFrame:
+    return reviews.filter_reviews(_by_category(shop), CATEGORY)
+
+
 def _rounded_describe(shop: Shop) -> DataFrame:
     stats = operations.describe_numeric(shop.items, "freight_value")
     return stats.withColumn("std", F.round("std", 9))
@@ -281,19 +292,19 @@ BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "q45_order_status_summary": lambda s: operations.order_status_summary(_orders(s)),
     # Reviews
     "q46_reviews_enriched": _enriched,
-    "q47_review_categories": lambda s: reviews.review_categories(_enriched(s)),
+    "q47_review_categories": lambda s: reviews.review_categories(_by_category(s)),
     "q48_filter_reviews": lambda s: reviews.filter_reviews(_enriched(s), CATEGORY, (4, 5)),
-    "q49_review_kpis": lambda s: reviews.review_kpis(_category_reviews(s)),
+    "q49_review_kpis": lambda s: reviews.review_kpis(_category_scores(s)),
     "q49_review_kpis_by_category": lambda s: reviews.review_kpis(
-        _enriched(s), by=reviews.CATEGORY
+        _by_category(s), by=reviews.CATEGORY
     ),
-    "q50_rating_distribution": lambda s: reviews.rating_distribution(_category_reviews(s)),
-    "q51_sentiment_mix": lambda s: reviews.sentiment_mix(_category_reviews(s)),
-    "q52_review_trend": lambda s: reviews.review_trend(_category_reviews(s)),
+    "q50_rating_distribution": lambda s: reviews.rating_distribution(_category_scores(s)),
+    "q51_sentiment_mix": lambda s: reviews.sentiment_mix(_category_scores(s)),
+    "q52_review_trend": lambda s: reviews.review_trend(_category_scores(s)),
     "q53_rating_by_calendar_month": lambda s: reviews.rating_by_calendar_month(
-        _category_reviews(s)
+        _category_scores(s)
     ),
-    "q54_rating_by_weekday": lambda s: reviews.rating_by_weekday(_category_reviews(s)),
+    "q54_rating_by_weekday": lambda s: reviews.rating_by_weekday(_category_scores(s)),
     "q55_positive_comments": lambda s: reviews.sample_comments(
         _category_reviews(s), "positive"
     ),
@@ -310,7 +321,7 @@ BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "q57_sort_by_price": lambda s: reviews.sort_reviews(_category_reviews(s), "price_desc"),
     "q57_sort_by_price_asc": lambda s: reviews.sort_reviews(_category_reviews(s), "price_asc"),
     "q58_review_display": lambda s: reviews.review_display(_enriched(s)),
-    "q59_review_extremes": lambda s: reviews.review_extremes(_category_reviews(s)),
+    "q59_review_extremes": lambda s: reviews.review_extremes(_category_scores(s)),
     "q60_export_csv": lambda s: export_reviews(s, "csv"),
     "q60_export_json": lambda s: export_reviews(s, "json"),
     # Strategy

@@ -36,24 +36,40 @@ def load_tables(spark: SparkSession, path: str, suffix: str = ".csv") -> dict[st
 
 
 def load_table(spark: SparkSession, path: str, table: str, suffix: str = ".csv") -> DataFrame:
+    """One shop table; see ``load_tables``."""
     if suffix == ".parquet":
         return typed(spark.read.parquet(path), table)
     raw = spark.read.csv(
         path, header=True, quote='"', escape='"', multiLine=table in FREE_TEXT
     )
-    return typed(raw.select([_present(c) for c in raw.columns]), table)
+    tokens = ", ".join(f"'{t}'" for t in NULL_TOKENS)
+    names = raw.columns
+    return typed(
+        raw.selectExpr(*(f"CASE WHEN `{c}` NOT IN ({tokens}) THEN `{c}` END AS `{c}`" for c in names)),
+        table,
+    )
 
 
 def typed(raw: DataFrame, table: str) -> DataFrame:
     """Declared columns in their types, bad values as null; other columns unchanged."""
     declared = COLUMNS.get(table, {})
-    missing = set(declared) - set(raw.columns)
-    required = missing - OPTIONAL.get(table, set())
+    given = dict(raw.dtypes)
+    required = declared.keys() - OPTIONAL.get(table, set()) - given.keys()
     if required:
         raise ValueError(f"{table} lacks the columns {sorted(required)}")
-    columns = [_cast(raw, c, t) if c not in missing else F.lit(None).cast(t).alias(c)
-               for c, t in declared.items()]
-    return raw.select(*columns, *(F.col(c) for c in raw.columns if c not in declared))
+
+    def column(name: str, to: str) -> str:
+        if name not in given:
+            return f"CAST(NULL AS {to}) AS `{name}`"
+        value = f"`{name}`"
+        if to == "int" and given[name] == "string":
+            value = f"try_cast({value} AS double)"  # "3.0" counts as a whole number
+        return f"try_cast({value} AS {to}) AS `{name}`"
+
+    return raw.selectExpr(
+        *(column(name, to) for name, to in declared.items()),
+        *(f"`{c}`" for c in given if c not in declared),
+    )
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -83,14 +99,3 @@ def key_violations(tables: dict[str, DataFrame]) -> DataFrame:
             )
         )
     return reduce(DataFrame.unionByName, checks)
-
-
-def _present(name: str) -> Column:
-    return F.when(~F.col(name).isin(NULL_TOKENS), F.col(name)).alias(name)
-
-
-def _cast(raw: DataFrame, name: str, to: str) -> Column:
-    col = F.col(name)
-    if to == "int" and raw.schema[name].dataType.simpleString() == "string":
-        col = col.try_cast("double")  # "3.0" counts as a whole number
-    return col.try_cast(to).alias(name)
