@@ -1,13 +1,13 @@
 """Exact order statistics without sorting a table in one task.
 
 ``percentile`` and ``median`` keep every distinct value in one aggregation buffer, and a
-window without a partition moves the table to one task. Here the rows are split into
-about a thousand ordered buckets instead: the bucket sizes tell which buckets hold the
-wanted ranks, and only those buckets are sorted, each on its own.
+window without a partition moves the table to one task. Here the rows are range-partitioned
+instead: the partition sizes tell which partitions hold the wanted ranks, and only those are
+sorted, each in its own task.
 
-The bucket borders are a sample of the keys (those with the smallest hashes). Which keys
-get sampled only affects how even the buckets are, never the result; and as the sample
-depends on nothing but the data, a recomputed task finds the same borders again.
+Spark samples the rows to choose the ranges and may choose others when it plans again, so
+the partitioned rows are stored once (``scratch.materialize``) before they are read twice.
+Building one of these tables therefore runs a job.
 """
 
 from __future__ import annotations
@@ -17,9 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The borders are searched in two steps of about FANOUT comparisons.
-FANOUT = 32
-BORDERS = FANOUT * FANOUT - 1
+from marketlens.sources.scratch import materialize
 
 
 def keys_at_ranks(
@@ -32,53 +30,39 @@ def keys_at_ranks(
     pre-aggregate repeated values into one weighted row. Output: ``pos`` (position in
     ``ranks``), ``key`` (struct), ``total``.
     """
-    names = ", ".join(f"`{k}`" for k in keys)
+    names = [f"`{k}`" for k in keys]
     times = f"`{weight}`" if weight else "1"
-    rows = df.selectExpr(f"struct({names}) AS key", f"CAST({times} AS bigint) AS w")
-    # "w" takes part in the order so that this pass reads the same columns as the next
-    # one and can share its shuffle.
-    borders = (
-        rows.orderBy(F.expr("xxhash64(key)"), "key", "w")
-        .limit(BORDERS)
-        .selectExpr("sort_array(collect_list(key)) AS fine")
-        .selectExpr(
-            f"struct(fine, filter(fine, (c, i) -> (i + 1) % {FANOUT} = 0) AS coarse) AS b"
-        )
-    )
-    # Never null, and known to be so: otherwise the join below would add a null check on
-    # it, which the optimizer moves to the rows in front of the caller's aggregation.
-    block_search = "size(filter(b.coarse, c -> c < key))"
-    inner_search = f"size(filter(slice(b.fine, block * {FANOUT} + 1, {FANOUT - 1}), c -> c < key))"
-    bucketed = (
-        rows.select("key", "w", borders.scalar().alias("b"))
-        .selectExpr("key", "w", "b", f"{block_search} AS block")
-        .selectExpr("key", "w", f"coalesce(block * {FANOUT} + {inner_search}, 0) AS bucket")
+    stored = materialize(
+        df.selectExpr(*names, f"CAST({times} AS bigint) AS w")
+        .repartitionByRange(*keys)
+        .selectExpr(f"struct({', '.join(names)}) AS key", "w", "spark_partition_id() AS part")
     )
 
-    # At most BORDERS + 1 rows from here to the join, whatever the size of the table.
+    # One row per partition from here to the join.
     wanted = (
-        bucketed.groupBy("bucket")
+        stored.groupBy("part")
         .agg(F.expr("sum(w) AS size"))
         .selectExpr(
-            "bucket",
-            "sum(size) OVER (ORDER BY bucket) AS upto",
-            "sum(size) OVER (ORDER BY bucket) - size AS before",
+            "part",
+            "sum(size) OVER (ORDER BY part) AS upto",
+            "sum(size) OVER (ORDER BY part) - size AS before",
             "sum(size) OVER () AS total",
         )
         .selectExpr("*", f"transform({ranks}, (r, i) -> struct(i AS pos, r AS rank)) AS ranks")
         .selectExpr(
-            "bucket", "before", "total",
+            "part", "before", "total",
             "filter(ranks, r -> r.rank > before AND r.rank <= upto) AS wanted",
         )
         .where("size(wanted) > 0")
     )
 
-    # One row per wanted bucket: bounded by the number of ranks asked for.
+    # At most one row per wanted rank: small enough to broadcast whatever the table.
     return (
-        bucketed.join(F.broadcast(wanted), "bucket")
+        stored.join(F.broadcast(wanted), "part")
         .selectExpr(
             "key", "w", "total", "wanted",
-            "before + sum(w) OVER (PARTITION BY bucket ORDER BY key) AS upto",
+            "before + sum(w) OVER (PARTITION BY part ORDER BY key"
+            " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto",
         )
         .selectExpr("key", "w", "total", "upto", "inline(wanted) AS (pos, rank)")
         .where("rank <= upto AND rank > upto - w")

@@ -66,7 +66,8 @@ def rfm_scores(rfm: DataFrame) -> DataFrame:
     compares (frequency, id) with the four pairs at the border ranks, so nothing has to be
     numbered from 1 to n.
 
-    Reads ``rfm`` several times: pass a table that is stored (``scratch.materialize``).
+    Reads ``rfm`` once per score and once for the result: pass a table that is stored
+    (``scratch.materialize``).
     """
     steps = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
     recency = _inner_edges(day_quantiles(rfm, "recency", steps))
@@ -174,7 +175,10 @@ def customer_ltv(orders: DataFrame, payments: DataFrame) -> DataFrame:
 
 
 def ltv_summary(ltv: DataFrame) -> DataFrame:
-    """``avg_clv, median_clv, avg_freq, repeat_customers, repeat_rate`` in one row."""
+    """``avg_clv, median_clv, avg_freq, repeat_customers, repeat_rate`` in one row.
+
+    Reads ``ltv`` twice: pass a table that is stored.
+    """
     repeats = F.count_if(F.col("order_count") > 1)
     return ltv.agg(
         mean(money("total_spent")).alias("avg_clv"),

@@ -63,9 +63,9 @@ def freight_totals(items: DataFrame) -> DataFrame:
 def describe_numeric(df: DataFrame, col: str) -> DataFrame:
     """``count, mean, std, min, q25, q50, q75, max`` of the non-null values, exact.
 
-    Everything is derived from the (value, count) table, so the rows are read once.
+    Everything is derived from the stored (value, count) table, so the rows are read once.
     """
-    values = _value_counts(df, col)
+    values = materialize(counted(df, col))
     x, n = F.col(col), F.col("n")
     q = quantiles(values, col, (0.25, 0.5, 0.75), weight="n").scalar()
     spread = values.agg(
@@ -92,9 +92,7 @@ def delivery_time_distribution(
     delivered: DataFrame, max_days: int = 100, bins: int = 30
 ) -> DataFrame:
     """Histogram of delivery times up to ``max_days``: ``bin, lo, hi, n, avg_delivery_time``."""
-    values = _value_counts(
-        delivered.where(F.col("delivery_time") <= max_days), "delivery_time"
-    )
+    values = counted(delivered.where(F.col("delivery_time") <= max_days), "delivery_time")
     avg_time = values.agg(ratio(F.sum(F.col("delivery_time") * F.col("n")), F.sum("n")))
     return histogram(values, "delivery_time", bins, weight="n").withColumn(
         "avg_delivery_time", avg_time.scalar()
@@ -109,7 +107,7 @@ def freight_distribution(items: DataFrame, q: float = 0.95, bins: int = 30) -> D
     as cut-off, median and bins each pass over them.
     """
     positive = items.select(money("freight_value").alias("freight")).where("freight > 0")
-    values = materialize(_value_counts(positive, "freight"))
+    values = materialize(counted(positive, "freight"))
     cutoff = quantile(values, "freight", q, weight="n")
     kept = materialize(values.where(F.col("freight").cast("double") <= cutoff))
     return histogram(kept, "freight", bins, weight="n").withColumn(
@@ -185,8 +183,3 @@ def order_status_summary(orders: DataFrame) -> DataFrame:
     return ranked(
         shares.withColumn("pct", F.bround("pct", 1)), F.desc("n"), F.asc("order_status")
     )
-
-
-def _value_counts(df: DataFrame, col: str) -> DataFrame:
-    """Distinct non-null values with their counts: ``col, n``."""
-    return counted(df, col)

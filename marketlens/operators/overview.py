@@ -8,15 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marketlens.functions.columns import (
-    mean,
-    money,
-    ratio,
-    timestamp,
-    total,
-    within_days,
-    year_month,
-)
+from marketlens.functions.columns import money, ratio, timestamp, total, within_days, year_month
 from marketlens.functions.tables import ranked, with_growth
 from marketlens.operators.periods import PURCHASED, previous_bounds, restrict_to_orders
 

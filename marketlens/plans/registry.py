@@ -255,7 +255,7 @@ BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
         _orders(s), s.customers, s.geolocation, k=5
     ),
     "q24_customer_ltv": _ltv,
-    "q25_ltv_summary": lambda s: customers.ltv_summary(_ltv(s)),
+    "q25_ltv_summary": lambda s: customers.ltv_summary(scratch.materialize(_ltv(s))),
     "q26_ltv_histogram": lambda s: histogram(_ltv(s), "total_spent", 50),
     "q26_order_count_histogram": lambda s: histogram(_ltv(s), "order_count", 20),
     "q27_payment_mix": lambda s: customers.payment_mix(s.payments),
