@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.columns import mean, money, ratio, total, whole_days
@@ -11,30 +11,31 @@ from marketlens.functions.tables import counted, histogram, ranked, with_share
 from marketlens.sources.scratch import materialize
 
 
+DELIVERED = "delivered"
+
+
 def delivered_orders(orders: DataFrame) -> DataFrame:
     """Delivered orders with both dates, plus ``delivery_time`` in whole days.
 
     A date that cannot be read is an error here.
     """
-    approved, received = F.col("order_approved_at"), F.col("order_delivered_customer_date")
+    approved, received = _delivery_dates()
     return (
-        orders.where(
-            (F.col("order_status") == "delivered") & received.isNotNull() & approved.isNotNull()
+        orders.where(_delivered())
+        .withColumns(
+            {"order_approved_at": approved, "order_delivered_customer_date": received}
         )
-        .withColumn("order_approved_at", approved.cast("timestamp_ntz"))
-        .withColumn("order_delivered_customer_date", received.cast("timestamp_ntz"))
         .withColumn("delivery_time", whole_days(approved, received))
     )
 
 
 def delivery_kpis(orders: DataFrame) -> DataFrame:
     """``avg_delivery_time`` (0 if nothing was delivered), ``delivery_rate`` in percent."""
-    avg_time = delivered_orders(orders).agg(
-        F.coalesce(mean(F.col("delivery_time")), F.lit(0.0)).alias("t")
-    )
-    rate = ratio(F.count_if(F.col("order_status") == "delivered"), F.count("*")) * 100
-    return orders.agg(rate.alias("delivery_rate")).select(
-        avg_time.scalar().alias("avg_delivery_time"), "delivery_rate"
+    days = F.when(_delivered(), whole_days(*_delivery_dates()))
+    rate = ratio(F.count_if(F.col("order_status") == DELIVERED), F.count("*")) * 100
+    return orders.agg(
+        F.coalesce(mean(days), F.lit(0.0)).alias("avg_delivery_time"),
+        rate.alias("delivery_rate"),
     )
 
 
@@ -183,3 +184,19 @@ def order_status_summary(orders: DataFrame) -> DataFrame:
     return ranked(
         shares.withColumn("pct", F.bround("pct", 1)), F.desc("n"), F.asc("order_status")
     )
+
+
+def _delivered() -> Column:
+    return (
+        (F.col("order_status") == DELIVERED)
+        & F.col("order_delivered_customer_date").isNotNull()
+        & F.col("order_approved_at").isNotNull()
+    )
+
+
+def _delivery_dates() -> tuple[Column, Column]:
+    """Approval and receipt, cast strictly."""
+    return (
+        F.col("order_approved_at").cast("timestamp_ntz"),
+        F.col("order_delivered_customer_date").cast("timestamp_ntz"),
+    )

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketlens.functions.columns import fixed, ratio, total
@@ -87,17 +88,19 @@ def quadrant_topk(
     picks: Sequence[tuple[str, str, int]],
     key: str,
 ) -> DataFrame:
-    """The best rows of chosen quadrants, plus ``quadrant``.
+    """The best rows of chosen quadrants, plus ``quadrant, pick, rank``.
 
     ``picks`` lists (quadrant, column to rank by, number of rows); ``key`` breaks ties.
+    ``pick`` numbers the entries of ``picks``, ``rank`` the rows of one entry; the ranks are
+    given after the top-k, to at most that many rows.
     """
     labelled = with_quadrant(df, x, y, x_cut, y_cut)
-    parts = [
-        ranked(
-            labelled.where(F.col("quadrant") == name), F.desc_nulls_last(by), F.asc(key), k=k
-        )
-        for name, by, k in picks
-    ]
+    parts = []
+    for i, (name, by, k) in enumerate(picks, start=1):
+        order = F.desc_nulls_last(by), F.asc(key)
+        best = ranked(labelled.where(F.col("quadrant") == name), *order, k=k)
+        rank = F.row_number().over(W.partitionBy("quadrant").orderBy(*order))
+        parts.append(best.withColumns({"pick": F.lit(i), "rank": rank}))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -115,6 +118,8 @@ def roi_projection(
     month, monthly_increase, annual_increase, cumulative_revenue, investment, net_benefit,
     roi_pct, payback_months`` (infinite without an increase).
     """
+    if months < 1:
+        raise ValueError(f"months must be at least 1, not {months}")
     invested = F.lit(float(investment))
     yearly = F.col(revenue_col).cast("double")
     monthly = F.when(yearly > 0, yearly / 12).otherwise(DEFAULT_MONTHLY_REVENUE)
@@ -146,10 +151,11 @@ def report(summary: DataFrame, picks: DataFrame, roi: DataFrame) -> DataFrame:
     """One JSON document: performance, picked rows, return on investment.
 
     ``summary`` is ``business_summary``, ``picks`` a top-k table (``quadrant_topk``), ``roi``
-    the projection of one key. Only these few rows are gathered.
+    the projection of one key. Only these few rows are gathered, in the order of the picks.
     """
-    rows = F.sort_array(F.collect_list(F.struct(*picks.columns)))
-    chosen = picks.agg(rows).scalar()
+    shown = F.struct(*(c for c in picks.columns if c not in ("pick", "rank")))
+    rows = F.sort_array(F.collect_list(F.struct("pick", "rank", shown.alias("row"))))
+    chosen = picks.agg(F.transform(rows, lambda r: r["row"])).scalar()
     outlook = roi.agg(
         F.struct(
             _euros(F.max("investment")).alias("Investment"),

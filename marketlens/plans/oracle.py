@@ -195,12 +195,15 @@ VIEWS = {
             SELECT CAST(sum(sales_volume) AS double) / count(*) AS x_cut,
                 CAST(sum(total_revenue) AS double) / count(*) AS y_cut FROM v_product_sales)""",
     "v_picks": """
-        (SELECT product_id, sales_volume, total_revenue, quadrant FROM v_quadrants
-            WHERE quadrant = 'Quick Wins' ORDER BY total_revenue DESC, product_id LIMIT 3)
+        SELECT * FROM (
+            SELECT product_id, sales_volume, total_revenue, quadrant, 1 AS pick,
+                CAST(row_number() OVER (ORDER BY total_revenue DESC, product_id) AS int) AS rank
+            FROM v_quadrants WHERE quadrant = 'Quick Wins') WHERE rank <= 3
         UNION ALL
-        (SELECT product_id, sales_volume, total_revenue, quadrant FROM v_quadrants
-            WHERE quadrant = 'Strategic Projects'
-            ORDER BY sales_volume DESC, product_id LIMIT 2)""",
+        SELECT * FROM (
+            SELECT product_id, sales_volume, total_revenue, quadrant, 2 AS pick,
+                CAST(row_number() OVER (ORDER BY sales_volume DESC, product_id) AS int) AS rank
+            FROM v_quadrants WHERE quadrant = 'Strategic Projects') WHERE rank <= 2""",
     "v_summary": """
         SELECT
             (SELECT CAST(sum(payment_value) AS double) FROM v_period_payments) AS total_revenue,
@@ -609,7 +612,7 @@ QUERIES = {
             '"},"Top Recommendations":[',
             (SELECT string_agg(concat('{"product_id":', product_id, ',"sales_volume":',
                 sales_volume, ',"total_revenue":', total_revenue, ',"quadrant":"', quadrant,
-                '"}'), ',' ORDER BY product_id) FROM v_picks),
+                '"}'), ',' ORDER BY pick, rank) FROM v_picks),
             '],"ROI Projections":{"Investment":"€ 1,000,000","Expected ROI":"',
             printf('%.1f', roi_pct), '%","Payback Period":"', printf('%.1f', payback_months),
             ' months","Annual Revenue Increase":"€ ',

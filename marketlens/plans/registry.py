@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.functions.columns import money
+from marketlens.functions.columns import mean, money
 from marketlens.functions.tables import histogram, with_growth
 from marketlens.operators import (
     customers,
@@ -175,14 +175,15 @@ def _quadrant_picks(shop: Shop) -> DataFrame:
         F.col("n").alias("sales_volume"),
         money("revenue").alias("total_revenue"),
     )
-    volume_cut = sales.agg(F.sum("sales_volume").cast("double") / F.count("*")).scalar()
-    revenue_cut = sales.agg(F.sum("total_revenue").cast("double") / F.count("*")).scalar()
+    averages = sales.agg(
+        F.struct(mean(F.col("sales_volume")).alias("x"), mean(F.col("total_revenue")).alias("y"))
+    ).scalar()
     return strategy.quadrant_topk(
         sales,
         "sales_volume",
         "total_revenue",
-        volume_cut,
-        revenue_cut,
+        averages["x"],
+        averages["y"],
         picks=[("Quick Wins", "total_revenue", 3), ("Strategic Projects", "sales_volume", 2)],
         key="product_id",
     )

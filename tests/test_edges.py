@@ -329,8 +329,8 @@ def test_quadrants(frame):
     )
     picks = [("Quick Wins", "impact", 1), ("Strategic Projects", "impact", 2), ("Avoid", "impact", 1)]
     got = strategy.quadrant_topk(table, "effort", "impact", 5.5, 5.5, picks, "id")
-    assert [(r.id, r.quadrant) for r in got.collect()] == [
-        ("a", "Quick Wins"), ("b", "Strategic Projects"), ("d", "Avoid"),
+    assert sorted((r.pick, r["rank"], r.id, r.quadrant) for r in got.collect()) == [
+        (1, 1, "a", "Quick Wins"), (2, 1, "b", "Strategic Projects"), (3, 1, "d", "Avoid"),
     ]
 
 
@@ -343,6 +343,8 @@ def test_roi(frame):
     assert got["b", 1].monthly_increase == 100_000.0
     none = strategy.roi_projection(revenue, "state", "revenue", 100, 0, months=1).first()
     assert none.payback_months == float("inf")
+    with pytest.raises(ValueError):
+        strategy.roi_projection(revenue, "state", "revenue", 100, 10, months=0)
 
 
 def test_top_k_has_no_random_ties(frame):

@@ -35,12 +35,6 @@ def test_period_filter_reaches_the_scan(spark, folder):
     assert "o_totalprice" not in plan
 
 
-@pytest.mark.parametrize("name", LAZY)
-def test_no_python_and_no_cross_join(spark, folder, name):
-    plan = queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search(r"BatchEvalPython|ArrowEvalPython|MapInPandas|CartesianProduct|NestedLoop", plan)
-
-
 def test_left_rows_are_shuffled_once(spark, folder, shuffled_joins):
     shop = Shop(spark, folder)
     plan = executed(periods.orders_with_items(shop.orders, shop.items))
@@ -81,9 +75,12 @@ def test_top_k_does_not_sort_everything(spark, folder, name):
 
 
 @pytest.mark.parametrize("name", LAZY)
-def test_only_aggregates_meet_in_one_task(spark, folder, name):
-    """Whatever is gathered in one task was aggregated before: groups, not rows."""
+def test_no_python_no_cross_join_no_gathered_table(spark, folder, name):
+    """What is gathered in one task was aggregated before: groups, not rows."""
     plan = queries()[name](spark, folder)._jdf.queryExecution().executedPlan().treeString()
+    assert not re.search(
+        r"BatchEvalPython|ArrowEvalPython|MapInPandas|CartesianProduct|NestedLoop", plan
+    )
     lines = plan.splitlines()
     for gathered, below in zip(lines, lines[1:]):
         if "Exchange SinglePartition" in gathered:
