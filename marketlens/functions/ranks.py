@@ -81,7 +81,8 @@ def quantiles(
     """
     p = _sql_array(probs)
     neighbours = (
-        f"flatten(transform({p}, p -> array(floor((total - 1) * p) + 1, ceil((total - 1) * p) + 1)))"
+        f"flatten(transform({p},"
+        " p -> array(floor((total - 1) * p) + 1, ceil((total - 1) * p) + 1)))"
     )
     # Measured from the nearer neighbour, which keeps both ends exact.
     return (

@@ -184,15 +184,14 @@ def sample_comments(reviews: DataFrame, mood: str, k: int = 5) -> DataFrame:
 def search_reviews(reviews: DataFrame, term: str, regex: bool = True) -> DataFrame:
     """Reviews with ``term`` in title or message, in any letter case.
 
-    The term is a Java regular expression, or literal text with ``regex=False``.
+    The term is a Java regular expression, or literal text with ``regex=False``. A missing
+    title or message does not match.
     """
 
     def found(text: Column) -> Column:
         if regex:
-            hit = text.rlike(f"(?iu){term}")
-        else:
-            hit = F.contains(F.lower(text), F.lit(term.lower()))
-        return F.coalesce(hit, F.lit(False))
+            return text.rlike(f"(?iu){term}")
+        return F.contains(F.lower(text), F.lit(term.lower()))
 
     return reviews.where(
         found(F.col("review_comment_title")) | found(F.col("review_comment_message"))
@@ -213,7 +212,7 @@ def sort_reviews(reviews: DataFrame, by: str = "date_desc") -> DataFrame:
     }
     if by not in orders:
         raise ValueError(f"by must be one of {sorted(orders)}, not {by!r}")
-    ids = ("review_id", "order_id", "order_item_id", "product_id")
+    ids = ("review_id", "order_id", "order_item_id", "product_id", "seller_id")
     return reviews.orderBy(orders[by], *(F.asc(c) for c in ids if c in reviews.columns))
 
 

@@ -63,7 +63,10 @@ class Shop:
         """One to three payments per order with items: one per return flag."""
         return (
             self.table("lineitem")
-            .groupBy(F.col("l_orderkey").alias("order_id"), F.col("l_returnflag").alias("payment_type"))
+            .groupBy(
+                F.col("l_orderkey").alias("order_id"),
+                F.col("l_returnflag").alias("payment_type"),
+            )
             .agg(
                 F.sum(F.col("l_extendedprice").cast(MONEY)).cast(MONEY).alias("payment_value"),
                 F.count("*").alias("payment_installments"),

@@ -43,11 +43,8 @@ def load_table(spark: SparkSession, path: str, table: str, suffix: str = ".csv")
         path, header=True, quote='"', escape='"', multiLine=table in FREE_TEXT
     )
     tokens = ", ".join(f"'{t}'" for t in NULL_TOKENS)
-    names = raw.columns
-    return typed(
-        raw.selectExpr(*(f"CASE WHEN `{c}` NOT IN ({tokens}) THEN `{c}` END AS `{c}`" for c in names)),
-        table,
-    )
+    present = (f"CASE WHEN `{c}` NOT IN ({tokens}) THEN `{c}` END AS `{c}`" for c in raw.columns)
+    return typed(raw.selectExpr(*present), table)
 
 
 def typed(raw: DataFrame, table: str) -> DataFrame:
