@@ -40,7 +40,7 @@ def period_kpis(
     ``avg_order_value`` is the mean per payment row, not per order. Output: ``metric,
     current, previous, growth_pct, growth_label``.
     """
-    before_start, before_end = previous_bounds(start, end)
+    before_start, _ = previous_bounds(start, end)
     ts = timestamp(PURCHASED)
     now = within_days(ts, start, end)
     both = orders.where(within_days(ts, before_start, end)).select(
