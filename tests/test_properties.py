@@ -92,3 +92,33 @@ def test_top_k_is_the_head_of_the_whole(shop):
     assert overview.category_items_sold(*args, k=3).collect() == overview.category_items_sold(
         *args
     ).collect()[:3]
+
+
+def test_hot_order_does_not_become_all_its_pairs(spark):
+    """One order holds a third of all reviews and items: 10^9 pairs, never built."""
+    hot = "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('o', id) END AS order_id"
+    scores = spark.range(90_000).selectExpr(
+        "concat('r', id) AS review_id", hot,
+        "CAST(CASE WHEN id % 3 = 0 THEN 5 ELSE 2 END AS int) AS review_score",
+        "CAST('2018-05-06' AS timestamp_ntz) AS review_creation_date",
+    )
+    items = spark.range(120_000).selectExpr(
+        hot, "1 AS order_item_id", "concat('p', id % 2) AS product_id",
+        "CAST(id % 2 AS decimal(18,2)) AS price",
+    )
+    goods = spark.createDataFrame(
+        [("p0", "a"), ("p1", "b")], "product_id string, product_category_name string"
+    )
+    names = spark.createDataFrame(
+        [("a", "one"), ("b", "two")],
+        "product_category_name string, product_category_name_english string",
+    )
+    compact = reviews.reviews_by_category(scores, items, goods, names)
+    kpis = reviews.review_kpis(reviews.filter_reviews(compact, "two")).first()
+    # Category "two": 20,000 items of the hot order times its 30,000 reviews, and one item
+    # for each of the other reviewed orders with an odd number.
+    pairs, single = 20_000 * 30_000, 30_000
+    assert kpis.total_reviews == 30_000 + single
+    assert kpis.avg_rating == (5 * pairs + 2 * single) / (pairs + single)
+    assert kpis.avg_price == 1.0
+    assert kpis.positive_pct == pairs / (30_000 + single) * 100
