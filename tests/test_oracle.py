@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from marketlens.plans import oracle, registry
 
-QUERIES = __spark_entry__.queries()
-ORACLE = __spark_entry__.oracle_sql()
+QUERIES = registry.queries()
+ORACLE = oracle.oracle_sql()
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings"
     " pages benchmark labels conversations"
@@ -36,6 +37,8 @@ def comparable(columns, rows):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(__spark_entry__.queries())
+    assert set(ORACLE) <= set(__spark_entry__.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
