@@ -24,8 +24,13 @@ from pyspark.sql import functions as F
 from marketlens.llm.common import SPACES, stored, text_of
 from marketlens.sources import scratch
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    # Else each of many small stores reserves megabytes of empty disk.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -69,8 +74,9 @@ def update_state(
     # As a pattern the path may name a single file as well as a folder.
     stream = reader.parquet(f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]")
     _, key, at = _keyed(stream, id_col, text_col, digest)
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_ON_DISK}
+    for name, value in STATE_ON_DISK.items():
+        spark.conf.set(name, value)
     try:
         (
             stream.select(key, at)
@@ -84,7 +90,8 @@ def update_state(
             .awaitTermination()
         )
     finally:
-        spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     return read_state(spark, state)
 
 
