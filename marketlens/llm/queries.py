@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketlens.llm import exact_dedup
+from marketlens.llm import exact_dedup, packing, token_output
+from marketlens.llm.common import table
+from marketlens.sources import scratch
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -14,7 +20,29 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(table(spark, folder, "documents"), TOKENIZER)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op5_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    """Read back from the written matrix; the checksum is of the two-byte ids in it."""
+    packed = token_output.write_packed(
+        table(spark, folder, "documents"), TOKENIZER, scratch.new_path(spark, "packed")
+    )
+    return token_output.segments(packed).select(
+        F.col("document").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens", "sequence_id", "offset",
+    )
+
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op3_packing": op3_packing,
+    "op5_token_output": op5_token_output,
+}
 
 SQL = {
     "op1_exact_dedup": r"""
