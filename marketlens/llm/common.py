@@ -30,3 +30,24 @@ def text_of(column: str | Column) -> Column:
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z only, the same in every engine and locale."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def bounded(df: DataFrame, rows: int, limit: int) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows are within ``limit``; else as it is."""
+    return F.broadcast(df) if rows <= limit else df
+
+
+#: Number of groups that keys are hashed into for ``in_buckets_of``: at most so many numbers are sent out.
+BUCKETS = 1 << 18
+
+
+def in_buckets_of(df: DataFrame, keys: DataFrame, key: str, keep: bool = True) -> DataFrame:
+    """Rows of ``df`` whose key falls into a bucket of some key of ``keys``; with ``keep=False`` the others.
+
+    A first, shuffle-free sieve before a join: all matching rows pass it. What is broadcast is
+    bounded by the number of buckets, whatever the number of keys.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    wanted = keys.select(bucket.alias("_bucket")).distinct()
+    how = "left_semi" if keep else "left_anti"
+    return df.withColumn("_bucket", bucket).join(F.broadcast(wanted), "_bucket", how).drop("_bucket")

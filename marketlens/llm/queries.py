@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import exact_dedup, packing, token_output
+from marketlens.llm import decontamination, exact_dedup, packing, token_output
 from marketlens.llm.common import table
 from marketlens.sources import scratch
 
@@ -38,10 +38,21 @@ def op5_token_output(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.judged(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        F.col("document.doc_id").alias("doc_id"), "n_words", "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_packing": op3_packing,
     "op5_token_output": op5_token_output,
+    "op7_decontamination": op7_decontamination,
 }
 
 SQL = {
@@ -53,6 +64,37 @@ WITH n AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
 FROM n JOIN g USING (t)
+""",
+    "op7_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), p AS (
+  SELECT DISTINCT item_id, array_to_string(w[s:s + 12], ' ') AS phrase, least(len(w), 13) AS size
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM i WHERE len(w) > 0)
+), sizes AS (
+  SELECT DISTINCT size FROM p
+), dw AS (
+  SELECT doc_id, size, s, array_to_string(w[s:s + size - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM d, sizes)
+), hits AS (
+  SELECT doc_id, item_id, s, p.size FROM dw JOIN p ON dw.phrase = p.phrase AND dw.size = p.size
+), covered AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit
+  FROM (SELECT doc_id, unnest(range(s, s + size)) AS pos FROM hits) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """,
 }
 
