@@ -150,7 +150,9 @@ def _collisions(joined: DataFrame) -> DataFrame:
     first = copies.filter(F.col("_at") == F.col("kept")).select("_digest", F.col("_text").alias("_first"))
     hits = copies.filter(F.col("_at") != F.col("kept")).select("_digest", "_text")
     different = F.col("_text").cast("binary") != F.col("_first").cast("binary")
-    return hits.join(first, "_digest").filter(different).select("_digest").distinct()
+    # Stored, as a distinct right behind the join would keep adaptive execution from splitting a
+    # text with very many copies.
+    return stored(hits.join(first, "_digest").filter(different).select("_digest"), "collisions").distinct()
 
 
 def _verdicts(rows: DataFrame) -> DataFrame:
