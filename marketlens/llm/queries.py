@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontamination, exact_dedup, packing, token_output
+from marketlens.llm import decontamination, exact_dedup, packing, pii, token_output
 from marketlens.llm.common import table
 from marketlens.sources import scratch
 
@@ -48,11 +48,23 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_pii(table(spark, folder, "documents"))
+    base = F.col("base")
+    return found.select(
+        F.col("document.doc_id").alias("doc_id"),
+        *(pii.count_of(base, kind).alias(f"n_{kind}") for kind in pii.KINDS),
+        F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_packing": op3_packing,
     "op5_token_output": op5_token_output,
     "op7_decontamination": op7_decontamination,
+    "op10_pii": op10_pii,
 }
 
 SQL = {
