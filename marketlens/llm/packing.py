@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import text_of
-from marketlens.llm.tokens import Encoder
+from marketlens.llm.tokens import encoder as encoder_of
 
 WINDOW = 1024
 END_ID = 0
@@ -169,10 +169,10 @@ def pack(
     kind = source.schema["key"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         packer = _Packer(
             TaskContext.get().partitionId() << 40, window, sentence_penalty, inner_penalty,
-            sequence_cost, encoder.sentence_ends(),
+            sequence_cost, encoder.sentence_ends,
         )
         end = np.array([end_id], dtype="<u4")
         schema = None

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import text_of
-from marketlens.llm.tokens import Encoder
+from marketlens.llm.tokens import encoder as encoder_of
 
 WINDOW = 1024
 END_ID = 0
@@ -122,7 +122,7 @@ def write_packed(
     kind = source.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         dtype = id_type(encoder.tokenizer.get_vocab_size())
         end = np.array([end_id], dtype="<u4")
         following, held, size, schema = TaskContext.get().partitionId() << 40, [], 0, None

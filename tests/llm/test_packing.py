@@ -166,3 +166,11 @@ def test_token_output_query(spark, folder, plain):
         assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u2").tobytes())
     assert sum(r.length for r in rows) == sum(map(len, expected.values()))
     assert len({r.sequence_id for r in rows}) * 1024 < 1.05 * sum(map(len, expected.values())) + 1024
+
+
+def test_other_kinds_of_tokenizer():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    texts = [t or "" for t in TEXTS]
+    found = Encoder(path).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
