@@ -38,7 +38,7 @@ def bounded(df: DataFrame, rows: int, limit: int) -> DataFrame:
 
 
 #: Number of groups that keys are hashed into for ``in_buckets_of``: at most so many numbers are sent out.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 
 
 def in_buckets_of(df: DataFrame, keys: DataFrame, key: str, keep: bool = True) -> DataFrame:

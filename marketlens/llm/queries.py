@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontamination, exact_dedup, packing, pii, token_output
+from marketlens.llm import decontamination, exact_dedup, jaccard_join, packing, pii, token_output
 from marketlens.llm.common import table
 from marketlens.sources import scratch
 
@@ -38,6 +38,10 @@ def op5_token_output(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(table(spark, folder, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.judged(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -63,6 +67,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_packing": op3_packing,
     "op5_token_output": op5_token_output,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_decontamination": op7_decontamination,
     "op10_pii": op10_pii,
 }
@@ -76,6 +81,29 @@ WITH n AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
 FROM n JOIN g USING (t)
+""",
+    "op6_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), links AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a
+)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """,
     "op7_decontamination": r"""
 WITH d AS (
