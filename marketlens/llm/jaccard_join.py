@@ -14,11 +14,12 @@ count; none is approximated. The steps:
    similar size, split into blocks of bounded size, each block against each. Within a tile all pairs
    of different components are compared and one link per join of components is kept.
 5. Every comparison counts bits of hashed bitmaps first: the bits that only one bitmap has bound
-   the overlap from above. Pairs that pass are settled by intersecting the sorted arrays.
+   the overlap from above. Pairs that pass are settled by intersecting the sorted arrays, which are
+   made again from the texts for these nodes only.
 
 Nothing grows in one task or on the driver: tiles are bounded, and the driver holds at most
-``FREQUENT`` shingles. The shuffles carry prefixes (a fifth of the shingles) and, for nodes that share
-a prefix shingle only, bitmaps and arrays.
+``FREQUENT`` shingles. The shuffles carry prefixes (a fifth of the shingles), bitmaps of nodes that
+share some, and arrays of nodes whose bitmaps allow a link.
 
 Defined results: null texts and texts without words have an empty set and link with nothing; texts
 of fewer than five words are one shingle; a document's component is the smallest identifier
@@ -36,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from marketlens.llm import shingles
 from marketlens.llm.common import in_buckets_of, stored, text_of
@@ -45,6 +47,7 @@ PERCENT = 80
 SAMPLE = 5_000
 FREQUENT = 100_000
 BLOCK = 256
+PAIRS_PER_ROW = 4
 BATCH_TEXTS = 500
 BAND = 1.26
 
@@ -138,7 +141,7 @@ def _node(hashes: np.ndarray) -> bytes:
 
 
 def shingled(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """``id, n, node, prefix`` by document; of equal sets in a task only the first has a prefix."""
+    """``id, n, node, prefix, bits`` by document; of equal sets in a task only the first has the last two."""
     source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -147,57 +150,66 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray,
         for rows in _texts(batches):
             sets = shingles.shingle_sets([t for _, t in rows], words)
             nodes = [_node(s) for s in sets]
-            prefixes = []
+            prefixes, bits = [], []
             for node, found in zip(nodes, sets):
-                prefixes.append(None if node in seen else prefix(found, shared.value, percent).view(np.int64))
+                new = node not in seen
+                prefixes.append(prefix(found, shared.value, percent).view(np.int64) if new else None)
+                bits.append(bitmap(found) if new else None)
                 seen.add(node)
             yield pa.record_batch(
                 [
                     pa.array([i for i, _ in rows], type=id_type), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(nodes, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())),
+                    pa.array(bits, pa.binary()),
                 ],
-                ["id", "n", "node", "prefix"],
+                ["id", "n", "node", "prefix", "bits"],
             )
 
     kind = source.schema["id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
     id_type = to_arrow_type(kind)
-    return source.mapInArrow(run, f"id {kind.simpleString()}, n bigint, node binary, prefix array<bigint>")
+    return source.mapInArrow(run, f"id {kind.simpleString()}, n bigint, node binary, prefix array<bigint>, bits binary")
 
 
 def arrays_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, words: int) -> DataFrame:
-    """``nid, n, bits, hashes`` of the wanted ``id, node, nid``; texts are shingled again for these only."""
+    """``nid, n, hashes`` of the wanted ``id, node, nid``; only these texts are shingled again.
+
+    A node may come several times where rows repeat an identifier.
+    """
     source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     some = in_buckets_of(source, wanted, "id")
+    kind = source.schema["id"].dataType
+    id_type = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _texts(batches):
             sets = shingles.shingle_sets([t for _, t in rows], words)
             yield pa.record_batch(
                 [
-                    pa.array([_node(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                    pa.array([i for i, _ in rows], type=id_type), pa.array([_node(s) for s in sets], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
                 ],
-                ["node", "n", "bits", "hashes"],
+                ["id", "node", "n", "hashes"],
             )
 
-    found = some.select("id", "text").mapInArrow(run, "node binary, n bigint, bits binary, hashes binary")
-    found = in_buckets_of(found, wanted, "node").dropDuplicates(["node"])
-    return found.join(wanted.select("node", "nid"), "node").select("nid", "n", "bits", "hashes")
+    found = some.select("id", "text").mapInArrow(run, f"id {kind.simpleString()}, node binary, n bigint, hashes binary")
+    found = in_buckets_of(found, wanted, "node")
+    named = wanted.select("nid", F.col("node").alias("own_node"), F.col("id").alias("own_id"))
+    same = (F.col("node") == F.col("own_node")) & F.col("id").eqNullSafe(F.col("own_id"))
+    return found.join(named, same).select("nid", "n", "hashes")
 
 
 def _words64(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.uint64)
 
 
-def verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` that link: bit counts first, then sorted arrays."""
+def _side(nodes: DataFrame, name: str, column: str) -> DataFrame:
+    return nodes.select(F.col("nid").alias(name), F.col("n").alias(f"n_{name}"), F.col(column).alias(f"{column}_{name}"))
+
 
-    def side(name: str, column: str) -> DataFrame:
-        return arrays.select(F.col("nid").alias(name), F.col("n").alias(f"n_{name}"), F.col(column).alias(f"{column}_{name}"))
+def possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose bitmaps allow a link."""
 
-    def by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [
                 bool(links(n, m, overlap_bound(n, m, _words64(x), _words64(y)), percent))
@@ -205,7 +217,14 @@ def verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
             ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def by_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    both = pairs.join(_side(bits, "a", "bits"), "a").join(_side(bits, "b", "bits"), "b")
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
+def verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that link, by their sorted arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("hashes_a").to_pylist(), batch.column("hashes_b").to_pylist()):
@@ -213,9 +232,8 @@ def verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
                 keep.append(bool(links(len(s), len(t), overlap(s, t), percent)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    possible = pairs.join(side("a", "bits"), "a").join(side("b", "bits"), "b").mapInArrow(by_bits, "a bigint, b bigint")
-    possible = stored(possible, "possible")
-    return possible.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").mapInArrow(by_arrays, "a bigint, b bigint")
+    both = pairs.join(_side(arrays, "a", "hashes"), "a").join(_side(arrays, "b", "hashes"), "b")
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
 def tiles(members: DataFrame, block: int) -> DataFrame:
@@ -289,12 +307,23 @@ def _possible_pairs(rows: list[dict], percent: int) -> Iterator[tuple[int, np.nd
 
 
 def _suspects(percent: int):
+    """Per tile the possible pairs, or, where these are many, the rows that have some.
+
+    Either way the output is linear in the size of the tile.
+    """
+
     def judge(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        found = {k for b, others in _possible_pairs(rows, percent) if len(others) for k in (b, *others.tolist())}
-        if found:
-            kept = [rows[k] for k in sorted(found)]
-            names = [*TILE, "nid", "comp", "n"]
-            yield pa.record_batch([pa.array([r[c] for r in kept]) for c in names], names)
+        pairs = [(int(a), b) for b, others in _possible_pairs(rows, percent) for a in others]
+        if not pairs:
+            return
+        if len(pairs) <= PAIRS_PER_ROW * len(rows):
+            left, right = [rows[a] for a, _ in pairs], [rows[b]["nid"] for _, b in pairs]
+        else:
+            left = [rows[k] for k in sorted({k for p in pairs for k in p})]
+            right = [None] * len(left)
+        names = [*TILE, "nid", "comp", "n"]
+        columns = [pa.array([r[c] for r in left], pa.int64()) for c in names]
+        yield pa.record_batch([*columns, pa.array(right, pa.int64())], [*names, "other"])
 
     return judge
 
@@ -343,21 +372,35 @@ def jaccard_groups(
     copies = filled.filter("prefix IS NOT NULL").select("node", "nid").join(nodes.select("node", "cid"), "node")
     copies = copies.filter("nid != cid").select(F.col("nid").alias("a"), F.col("cid").alias("b"))
 
-    wanted = members.select("nid").distinct().join(filled.select("nid", "id", "node"), "nid")
-    arrays = stored(arrays_of(docs, id_col, text_col, wanted, words), "arrays")
+    bits = filled.filter("bits IS NOT NULL").select("nid", "n", "bits")
+
+    def settled(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
+        arrays = arrays_of(docs, id_col, text_col, filled.join(ends, "nid").select("id", "node", "nid"), words)
+        return verified(pairs, stored(arrays, "arrays"), percent)
+
     pairs = members.filter((F.col("nid") != F.col("leader")) & similar_size(F.col("n"), F.col("leader_n"), percent))
     pairs = pairs.select(F.col("leader").alias("a"), F.col("nid").alias("b")).distinct()
-    first = verified(pairs, arrays, percent).unionByName(copies)
+    first = settled(stored(possible(pairs, bits, percent), "possible")).unionByName(copies)
     comps = stored(connected_components(first), "components")
 
     rest = _unsettled(members, comps)
-    suspects = _by_tile(
-        tiles(rest, block), arrays.select("nid", "bits"), _suspects(percent),
-        "h bigint, low bigint, i bigint, j bigint, nid bigint, comp bigint, n bigint",
+    found = _by_tile(
+        tiles(rest, block), bits.select("nid", "bits"), _suspects(percent),
+        "h bigint, low bigint, i bigint, j bigint, nid bigint, comp bigint, n bigint, other bigint",
     )
-    suspects = stored(suspects, "suspects")
-    more = _by_tile(suspects, arrays.select("nid", "bits", "hashes"), _tile_links(percent), "a bigint, b bigint")
-    joined = connected_components(stored(more, "links"))
+    found = stored(found, "suspects")
+    pairs = found.filter("other IS NOT NULL").select(F.col("nid").alias("a"), F.col("other").alias("b")).distinct()
+    by_comp = settled(stored(pairs, "pairs"))
+    for end in ("a", "b"):
+        own = comps.select(F.col("node").alias(end), "component")
+        by_comp = by_comp.join(own, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    crowded = found.filter("other IS NULL").drop("other")
+    held = filled.join(crowded.select("nid").distinct(), "nid").select("id", "node", "nid")
+    arrays = arrays_of(docs, id_col, text_col, held, words).select("nid", "hashes").dropDuplicates(["nid"])
+    arrays = arrays.join(bits.select("nid", "bits"), "nid")
+    more = by_comp.unionByName(_by_tile(crowded, stored(arrays, "arrays"), _tile_links(percent), "a bigint, b bigint"))
+    joined = stored(connected_components(more), "joined")
     joined = joined.select(F.col("node").alias("component"), F.col("component").alias("joined"))
     final = comps.join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
     lone = joined.join(comps, joined["component"] == comps["node"], "left_anti")

@@ -55,8 +55,9 @@ def corpus(seed):
     return [(100 + 3 * i, t) for i, t in enumerate(docs)] + [(None, docs[0]), (100, docs[0]), (None, "nobody else has this text")]
 
 
-@pytest.mark.parametrize("seed, sample, block", [(1, 5000, 256), (2, 1, 3), (3, 20, 2)])
-def test_like_brute_force(spark, seed, sample, block):
+@pytest.mark.parametrize("seed, sample, block, per_row", [(1, 5000, 256, 4), (2, 1, 3, 0), (3, 20, 2, 1)])
+def test_like_brute_force(spark, monkeypatch, seed, sample, block, per_row):
+    monkeypatch.setattr(jaccard_join, "PAIRS_PER_ROW", per_row)
     docs = corpus(seed)
     df = spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, n int, node string").repartition(3)
     found = jaccard_join.jaccard_groups(df, sample=sample, block=block)
@@ -66,12 +67,8 @@ def test_like_brute_force(spark, seed, sample, block):
 def test_without_leaders(spark, monkeypatch):
     """Tiles alone find all links, too."""
     docs = corpus(4)
-    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, arrays, percent: pairs.limit(0))
+    monkeypatch.setattr(jaccard_join, "possible", lambda pairs, bits, percent: pairs.limit(0))
     members = jaccard_join._members
-
-    def pretend_larger(filled):
-        return members(filled).withColumn("size", members(filled)["size"] + 1)
-
     monkeypatch.setattr(jaccard_join, "_members", lambda filled: members(filled).selectExpr("h", "nid", "n", "leader", "leader_n", "size + 1 AS size"))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     found = jaccard_join.jaccard_groups(df, block=4)
