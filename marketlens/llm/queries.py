@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontamination, exact_dedup, jaccard_join, packing, pii, token_output
+from marketlens.llm import decontamination, exact_dedup, jaccard_join, packing, pii, token_output, toxicity
 from marketlens.llm.common import table
 from marketlens.sources import scratch
 
@@ -52,6 +52,17 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(docs, table(spark, folder, "labels"))
+    return toxicity.toxicity_scores(docs.select("doc_id", "text"), model).select(
+        F.col("document.doc_id").alias("doc_id"),
+        toxicity.held_out("document.doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find_pii(table(spark, folder, "documents"))
     base = F.col("base")
@@ -69,6 +80,7 @@ QUERIES = {
     "op5_token_output": op5_token_output,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_decontamination": op7_decontamination,
+    "op8_toxicity": op8_toxicity,
     "op10_pii": op10_pii,
 }
 
