@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontamination, exact_dedup, jaccard_join, packing, pii, token_output, toxicity
+from marketlens.llm import decontamination, exact_dedup, jaccard_join, line_dedup, packing, pii, token_output, toxicity
 from marketlens.llm.common import table
 from marketlens.sources import scratch
 
@@ -27,6 +27,15 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """By document its numbers of lines and the text that is left, as SHA-256."""
+    found = line_dedup.dedup_lines(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", F.col("lines.total").alias("n_lines"), F.col("lines.removed").alias("n_removed"),
+        F.length("text").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+    )
+
+
 def op5_token_output(spark: SparkSession, folder: str) -> DataFrame:
     """Read back from the written matrix; the checksum is of the two-byte ids in it."""
     packed = token_output.write_packed(
@@ -77,6 +86,7 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_packing": op3_packing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_token_output": op5_token_output,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_decontamination": op7_decontamination,
