@@ -44,20 +44,27 @@ from marketlens.llm.common import in_buckets_of, stored, text_of
 from marketlens.llm.components import connected_components
 
 PERCENT = 80
-SAMPLE = 5_000
-FREQUENT = 100_000
+SAMPLE = 20_000
+FREQUENT = 400_000
 BLOCK = 256
 PAIRS_PER_ROW = 4
 BATCH_TEXTS = 500
 BAND = 1.26
+BANDS = 64
 
 
 def links(n, m, overlap, percent: int):
     return 100 * overlap >= percent * (n + m - overlap)
 
 
-def similar_size(n: Column, m: Column, percent: int) -> Column:
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def size_band(n: Column) -> Column:
+    """Sets that link are in the same band or in neighbouring ones."""
+    return F.least(F.floor(F.log(n) / F.log(F.lit(BAND))), F.lit(BANDS - 1)).cast("int")
+
+
+def band_of(nid: Column) -> Column:
+    """Node numbers end with the band, so that postings need not carry sizes."""
+    return F.pmod(nid, F.lit(BANDS)).cast("int")
 
 
 # Bitmaps ------------------------------------------------------------------------------
@@ -237,27 +244,26 @@ def verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
 
 
 def tiles(members: DataFrame, block: int) -> DataFrame:
-    """Deals ``h, nid, comp, n`` into tiles ``h, low, i, j``: band ``low`` with itself or with the
-    next one, block i of it against block j. ``upper`` tells which side a member is on."""
-    band = F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int")
-    members = members.withColumn("band", band)
+    """Deals ``h, nid, comp`` into tiles ``h, low, i, j``: band ``low`` with itself or with the
+    next one (negative j), block i against block j."""
+    members = members.withColumn("band", band_of(F.col("nid")))
     blocks = members.groupBy("h", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     sized = members.join(blocks, ["h", "band"]).withColumn("own", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
     below = blocks.select("h", (F.col("band") + 1).alias("band"), F.col("blocks").alias("blocks_below"))
     above = blocks.select("h", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_above"))
     sized = sized.join(below, ["h", "band"], "left").join(above, ["h", "band"], "left")
     others = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    none = F.array().cast("array<struct<low:int,i:int,j:int,upper:int>>")
+    none = F.array().cast("array<struct<low:int,i:int,j:int>>")
 
-    def place(low, i, j, upper) -> Column:
-        return F.struct(low.alias("low"), i.alias("i"), j.alias("j"), F.lit(upper).alias("upper"))
+    def place(low: Column, i: Column, j: Column) -> Column:
+        return F.struct(low.alias("low"), i.alias("i"), j.alias("j"))
 
     own = F.col("own")
-    same = F.transform(others("blocks"), lambda k: place(F.col("band"), F.least(own, k), F.greatest(own, k), 0))
-    up = F.coalesce(F.transform(others("blocks_above"), lambda k: place(F.col("band"), own, -1 - k, 0)), none)
-    down = F.coalesce(F.transform(others("blocks_below"), lambda k: place(F.col("band") - 1, k, -1 - own, 1)), none)
-    return sized.select("h", "nid", "comp", "n", "own", F.explode(F.concat(same, up, down)).alias("tile")).select(
-        "h", "nid", "comp", "n", "own", "tile.low", "tile.i", "tile.j", "tile.upper"
+    same = F.transform(others("blocks"), lambda k: place(F.col("band"), F.least(own, k), F.greatest(own, k)))
+    up = F.coalesce(F.transform(others("blocks_above"), lambda k: place(F.col("band"), own, -1 - k)), none)
+    down = F.coalesce(F.transform(others("blocks_below"), lambda k: place(F.col("band") - 1, k, -1 - own)), none)
+    return sized.select("h", "nid", "comp", F.explode(F.concat(same, up, down)).alias("tile")).select(
+        "h", "nid", "comp", "tile.low", "tile.i", "tile.j"
     )
 
 
@@ -321,7 +327,7 @@ def _suspects(percent: int):
         else:
             left = [rows[k] for k in sorted({k for p in pairs for k in p})]
             right = [None] * len(left)
-        names = [*TILE, "nid", "comp", "n"]
+        names = [*TILE, "nid", "comp"]
         columns = [pa.array([r[c] for r in left], pa.int64()) for c in names]
         yield pa.record_batch([*columns, pa.array(right, pa.int64())], [*names, "other"])
 
@@ -363,10 +369,11 @@ def jaccard_groups(
     """One row per document: ``<id_col>, n_shingles, component_id``."""
     frequent = frequent_shingles(docs, text_col, words, sample)
     sets = shingled(docs, id_col, text_col, frequent, words, percent)
-    sets = stored(sets.withColumn("nid", F.monotonically_increasing_id()), "shingles")
+    number = F.monotonically_increasing_id() * BANDS + F.coalesce(size_band(F.col("n")), F.lit(0))
+    sets = stored(sets.withColumn("nid", number), "shingles")
     filled = sets.filter("n > 0")
     nodes = stored(
-        filled.groupBy("node").agg(F.min("nid").alias("cid"), F.min("id").alias("least_id"), F.first("n").alias("n")), "nodes"
+        filled.groupBy("node").agg(F.min("nid").alias("cid"), F.min("id").alias("least_id")), "nodes"
     )
     members = stored(_members(filled), "members")
     copies = filled.filter("prefix IS NOT NULL").select("node", "nid").join(nodes.select("node", "cid"), "node")
@@ -379,15 +386,15 @@ def jaccard_groups(
         arrays = arrays_of(docs, id_col, text_col, filled.join(ends, "nid").select("id", "node", "nid"), words)
         return verified(pairs, stored(arrays, "arrays"), percent)
 
-    pairs = members.filter((F.col("nid") != F.col("leader")) & similar_size(F.col("n"), F.col("leader_n"), percent))
-    pairs = pairs.select(F.col("leader").alias("a"), F.col("nid").alias("b")).distinct()
+    near = F.abs(band_of(F.col("nid")) - band_of(F.col("leader"))) <= 1
+    pairs = members.filter((F.col("nid") != F.col("leader")) & near).select(F.col("leader").alias("a"), F.col("nid").alias("b")).distinct()
     first = settled(stored(possible(pairs, bits, percent), "possible")).unionByName(copies)
     comps = stored(connected_components(first), "components")
 
     rest = _unsettled(members, comps)
     found = _by_tile(
-        tiles(rest, block), bits.select("nid", "bits"), _suspects(percent),
-        "h bigint, low bigint, i bigint, j bigint, nid bigint, comp bigint, n bigint, other bigint",
+        tiles(rest, block), bits, _suspects(percent),
+        "h bigint, low bigint, i bigint, j bigint, nid bigint, comp bigint, other bigint",
     )
     found = stored(found, "suspects")
     pairs = found.filter("other IS NOT NULL").select(F.col("nid").alias("a"), F.col("other").alias("b")).distinct()
@@ -397,7 +404,7 @@ def jaccard_groups(
         by_comp = by_comp.join(own, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
     crowded = found.filter("other IS NULL").drop("other")
     held = filled.join(crowded.select("nid").distinct(), "nid").select("id", "node", "nid")
-    arrays = arrays_of(docs, id_col, text_col, held, words).select("nid", "hashes").dropDuplicates(["nid"])
+    arrays = arrays_of(docs, id_col, text_col, held, words).dropDuplicates(["nid"])
     arrays = arrays.join(bits.select("nid", "bits"), "nid")
     more = by_comp.unionByName(_by_tile(crowded, stored(arrays, "arrays"), _tile_links(percent), "a bigint, b bigint"))
     joined = stored(connected_components(more), "joined")
@@ -420,24 +427,27 @@ def jaccard_groups(
 
 
 def _members(filled: DataFrame) -> DataFrame:
-    """``h, nid, n, leader, leader_n, size``: nodes by prefix shingle, where several share it."""
-    postings = filled.select(F.explode("prefix").alias("h"), "nid", "n")
-    groups = postings.groupBy("h").agg(
-        F.count(F.lit(1)).alias("size"), F.min(F.struct("nid", "n")).alias("first")
-    )
-    shared = groups.filter("size > 1").select("h", "size", F.col("first.nid").alias("leader"), F.col("first.n").alias("leader_n"))
-    return postings.join(shared, "h")
+    """``h, nid, leader, size``: nodes by prefix shingle, where several share it."""
+    postings = filled.select(F.explode("prefix").alias("h"), "nid")
+    groups = postings.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("nid").alias("leader"))
+    return postings.join(groups.filter("size > 1"), "h")
 
 
 def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
     """Members of shingles that more than two nodes share and that join different components.
 
-    Of two nodes one is the leader, so their pair is settled.
+    Of two nodes one is the leader, so their pair is settled. The shingles of a passage are mostly
+    shared by the same nodes; of shingles with equal members one is enough.
     """
     placed = members.filter("size > 2").join(comps.withColumnRenamed("node", "nid"), "nid", "left")
-    placed = placed.select("h", "nid", "n", F.coalesce("component", "nid").alias("comp"))
-    mixed = placed.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-    return placed.join(mixed.select("h"), "h")
+    placed = stored(placed.select("h", "nid", F.coalesce("component", "nid").alias("comp")), "placed")
+    low = F.xxhash64("nid") % (1 << 31)
+    mixed = placed.groupBy("h").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("nid").alias("first"), F.max("nid").alias("last"),
+        F.count(F.lit(1)).alias("size"), F.sum(low).alias("sum"), F.sum(F.xxhash64("nid", F.lit(1)) % (1 << 31)).alias("sum2"),
+    )
+    one = mixed.filter("low < high").groupBy("first", "last", "size", "sum", "sum2").agg(F.min("h").alias("h"))
+    return placed.join(one.select("h"), "h")
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

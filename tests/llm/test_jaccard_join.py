@@ -69,7 +69,7 @@ def test_without_leaders(spark, monkeypatch):
     docs = corpus(4)
     monkeypatch.setattr(jaccard_join, "possible", lambda pairs, bits, percent: pairs.limit(0))
     members = jaccard_join._members
-    monkeypatch.setattr(jaccard_join, "_members", lambda filled: members(filled).selectExpr("h", "nid", "n", "leader", "leader_n", "size + 1 AS size"))
+    monkeypatch.setattr(jaccard_join, "_members", lambda filled: members(filled).selectExpr("h", "nid", "leader", "size + 1 AS size"))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     found = jaccard_join.jaccard_groups(df, block=4)
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found.collect()) == brute(docs)
