@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontamination, exact_dedup, jaccard_join, line_dedup, packing, pii, token_output, toxicity
+from marketlens.llm import decontamination, exact_dedup, html_extraction, jaccard_join, line_dedup, packing, pii, token_output, toxicity
 from marketlens.llm.common import table
 from marketlens.sources import scratch
 
@@ -72,6 +72,11 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_extraction.main_text(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find_pii(table(spark, folder, "documents"))
     base = F.col("base")
@@ -91,6 +96,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_decontamination": op7_decontamination,
     "op8_toxicity": op8_toxicity,
+    "op9_html_extraction": op9_html_extraction,
     "op10_pii": op10_pii,
 }
 
