@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontamination, exact_dedup, html_extraction, jaccard_join, line_dedup, packing, pii, token_output, toxicity
+from marketlens.llm import decontamination, exact_dedup, html_extraction, jaccard_join, line_dedup, lm_scoring, packing, pii, token_output, toxicity
 from marketlens.llm.common import table
 from marketlens.sources import scratch
 
@@ -20,6 +20,12 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = lm_scoring.score_documents(docs.select("doc_id", "text"), lm_scoring.train(docs))
+    return found.select(F.col("document.doc_id").alias("doc_id"), "n_tokens", "log_probability", "mean_log_probability")
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(table(spark, folder, "documents"), TOKENIZER)
     return pieces.select(
@@ -90,6 +96,7 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_output": op5_token_output,
