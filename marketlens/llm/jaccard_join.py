@@ -47,8 +47,9 @@ PERCENT = 80
 SAMPLE = 20_000
 FREQUENT = 400_000
 BLOCK = 256
-PAIRS_PER_ROW = 4
+PAIRS_PER_ROW = 1
 BATCH_TEXTS = 500
+BATCH_CHARACTERS = 1 << 20
 BAND = 1.26
 BANDS = 64
 
@@ -125,11 +126,23 @@ def frequent_shingles(docs: DataFrame, text_col: str, words: int, sample: int) -
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows in small lists, so that arrays stay small whatever the batch."""
+    """Rows, the text last, in lists of bounded length and text, so that arrays stay small whatever the batch."""
+    held, size = [], 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            held.append(row)
+            size += len(row[-1])
+            if len(held) >= BATCH_TEXTS or size >= BATCH_CHARACTERS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low in range(0, batch.num_rows, BATCH_TEXTS):
-            some = batch.slice(low, BATCH_TEXTS)
-            yield list(zip(*(c.to_pylist() for c in some.columns)))
+            yield batch.slice(low, BATCH_TEXTS)
 
 
 def prefix(hashes: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
@@ -217,7 +230,7 @@ def possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose bitmaps allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             keep = [
                 bool(links(n, m, overlap_bound(n, m, _words64(x), _words64(y)), percent))
                 for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")))
@@ -232,7 +245,7 @@ def verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` that link, by their sorted arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             keep = []
             for x, y in zip(batch.column("hashes_a").to_pylist(), batch.column("hashes_b").to_pylist()):
                 s, t = _words64(x), _words64(y)
@@ -278,7 +291,7 @@ def _by_tile(rows: DataFrame, extra: DataFrame, judge, schema: str) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
-        for batch in batches:
+        for batch in _slices(batches):
             for row in batch.to_pylist():
                 own = tuple(row[c] for c in TILE)
                 if own != key:
