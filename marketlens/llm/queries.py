@@ -36,9 +36,10 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """By document its numbers of lines and the text that is left, as SHA-256."""
     found = line_dedup.dedup_lines(table(spark, folder, "documents"))
+    text = F.col("document.text")
     return found.select(
-        "doc_id", F.col("lines.total").alias("n_lines"), F.col("lines.removed").alias("n_removed"),
-        F.length("text").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+        F.col("document.doc_id").alias("doc_id"), "n_lines", "n_removed",
+        F.length(text).alias("n_chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"),
     )
 
 
