@@ -47,7 +47,7 @@ PERCENT = 80
 SAMPLE = 20_000
 FREQUENT = 400_000
 BLOCK = 256
-PAIRS_PER_ROW = 1
+PAIRS_PER_ROW = 4
 BATCH_TEXTS = 500
 BATCH_CHARACTERS = 1 << 20
 BAND = 1.26
@@ -328,11 +328,14 @@ def _possible_pairs(rows: list[dict], percent: int) -> Iterator[tuple[int, np.nd
 def _suspects(percent: int):
     """Per tile the possible pairs, or, where these are many, the rows that have some.
 
-    Either way the output is linear in the size of the tile.
+    Either way the output is linear in the size of the tile. Of all the shingles that a pair shares
+    only the tiles of the smallest propose it.
     """
 
     def judge(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        pairs = [(int(a), b) for b, others in _possible_pairs(rows, percent) for a in others]
+        h, shared = rows[0]["h"], [frozenset(r["shared"]) for r in rows]
+        possible = ((int(a), b) for b, others in _possible_pairs(rows, percent) for a in others)
+        pairs = [(a, b) for a, b in possible if min(shared[a] & shared[b]) == h]
         if not pairs:
             return
         if len(pairs) <= PAIRS_PER_ROW * len(rows):
@@ -404,9 +407,10 @@ def jaccard_groups(
     first = settled(stored(possible(pairs, bits, percent), "possible")).unionByName(copies)
     comps = stored(connected_components(first), "components")
 
-    rest = _unsettled(members, comps)
+    rest = stored(_unsettled(members, comps), "unsettled")
+    shared = rest.groupBy("nid").agg(F.collect_list("h").alias("shared"))  # at most a prefix
     found = _by_tile(
-        tiles(rest, block), bits, _suspects(percent),
+        tiles(rest, block), bits.join(shared, "nid"), _suspects(percent),
         "h bigint, low bigint, i bigint, j bigint, nid bigint, comp bigint, other bigint",
     )
     found = stored(found, "suspects")
