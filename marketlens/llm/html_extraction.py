@@ -6,8 +6,8 @@ per slot over all pages tells constant slots, the template, from varying ones, t
 name, class or role says that they are menus, headers, footers, sidebars, notices, adverts, forms or comments are
 left out, too, because on many sites these vary from page to page.
 
-The counts are added up per task and shuffled as numbers, whatever the size of a host; pages are
-parsed once, and their blocks wait in the shared folder for the template. Wrappers and templates are
+The counts are added up per task and shuffled as numbers, whatever the size of a host. Pages are parsed a
+second time for their text rather than kept. Wrappers and templates are
 broadcast if their counted size is small, and joined by host otherwise, where adaptive execution
 splits large hosts.
 
@@ -70,60 +70,73 @@ def _text_hash(words: list[str]) -> int:
     return xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _blocks(html: str, wrapper: str | None) -> tuple[list[tuple[int, int]], list[tuple[int, int, str]]]:
-    """Slot and text of all blocks, and slot, text hash and text of the blocks that may be main text."""
-    root = dom.parse(html)
-    if wrapper is not None:
-        dom.align(root, _wrapper(wrapper))
-    main = [(n.slot, _text_hash(n.text), " ".join(n.text)) for n in dom.main_blocks(root)]
-    return [(n.slot, _text_hash(n.text)) for n in dom.leaves(root) if n.slot >= 0], main
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, BATCH_PAGES):
+            yield list(zip(*(c.to_pylist() for c in batch.slice(low, BATCH_PAGES).columns)))
 
 
-def parsed(pages: DataFrame, id_col: str, wrapped: DataFrame) -> DataFrame:
-    """By page its ``blocks``; and, in rows of their own, ``host, slot, hash, n`` counted per batch."""
-    source = pages.select(F.col(id_col).alias("id"), "url", "host", "html").join(_sized(wrapped, "wrapper"), "host", "left")
-    kind = source.schema["id"].dataType
-    id_type = to_arrow_type(kind)
-    block = pa.struct([("slot", pa.int32()), ("hash", pa.int64()), ("text", pa.string())])
+def slot_counts(pages: DataFrame, wrapped: DataFrame) -> DataFrame:
+    """``host, slot, hash, n``: how often a slot of a host has a text, added up in the tasks first."""
+    source = pages.select("host", "html").join(_sized(wrapped.select("host", "wrapper"), "wrapper"), "host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (id_type, pa.string(), pa.string(), pa.list_(block), pa.int32(), pa.int64(), pa.int64())
-            names = ["id", "url", "host", "blocks", "slot", "hash", "n"]
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-
-        for batch in batches:
-            for low in range(0, batch.num_rows, BATCH_PAGES):
-                some = batch.slice(low, BATCH_PAGES)
-                rows = []
-                for key, url, host, html, wrapper in zip(*(some.column(c).to_pylist() for c in ("id", "url", "host", "html", "wrapper"))):
-                    every, main = _blocks(html, wrapper)
-                    counts.update((host, slot, text) for slot, text in every)
-                    rows.append((key, url, host, [dict(zip(("slot", "hash", "text"), b)) for b in main], None, None, None))
-                yield batch_of(rows)
-                if len(counts) > 100_000:
-                    yield batch_of([(None, None, h, None, s, t, n) for (h, s, t), n in counts.items()])
-                    counts.clear()
+        def batch_of() -> pa.RecordBatch:
+            rows = [(*key, n) for key, n in counts.items()]
+            counts.clear()
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["host", "slot", "hash", "n"])
+
+        for rows in _rows(batches):
+            for host, html, wrapper in rows:
+                root = dom.parse(html)
+                dom.align(root, _wrapper(wrapper))
+                counts.update((host, n.slot, _text_hash(n.text)) for n in dom.leaves(root) if n.slot >= 0)
+            if len(counts) > 100_000:
+                yield batch_of()
         if counts:
-            yield batch_of([(None, None, h, None, s, t, n) for (h, s, t), n in counts.items()])
+            yield batch_of()
 
-    return source.select("id", "url", "host", "html", "wrapper").mapInArrow(
-        run,
-        f"id {kind.simpleString()}, url string, host string, blocks array<struct<slot:int,hash:bigint,text:string>>,"
-        " slot int, hash bigint, n bigint",
-    )
+    found = source.select("host", "html", "wrapper").mapInArrow(run, "host string, slot int, hash bigint, n bigint")
+    return found.groupBy("host", "slot", "hash").agg(F.sum("n").alias("n"))
 
 
-def templates(counts: DataFrame, hosts: DataFrame, constant: float) -> DataFrame:
-    """``host, template``: slot and text of the blocks that most pages of the host have in the same slot.
+def extracted(pages: DataFrame, layouts: DataFrame) -> DataFrame:
+    """``id, url, blocks``: the texts of the main blocks that are not template."""
+    source = pages.select(F.col("_id").alias("id"), "url", "host", "html").join(_sized(layouts, "wrapper"), "host", "left")
+    kind = source.schema["id"].dataType
+    id_type = to_arrow_type(kind)
 
-    At most as many as the wrapper has nodes.
-    """
-    texts = counts.groupBy("host", "slot", "hash").agg(F.sum("n").alias("n"))
-    fixed = texts.join(hosts.select("host", "pages"), "host").filter(F.col("n") >= constant * F.col("pages"))
-    return fixed.groupBy("host").agg(F.collect_list(F.struct("slot", "hash")).alias("template"))
+    def blocks(html: str, wrapper: str | None, slots: list | None, hashes: list | None) -> list[str]:
+        root = dom.parse(html)
+        template = set()
+        if wrapper is not None:
+            dom.align(root, _wrapper(wrapper))
+            template = set(zip(slots, hashes))
+        main = dom.main_blocks(root)
+        return [" ".join(n.text) for n in main if not template or (n.slot, _text_hash(n.text)) not in template]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _rows(batches):
+            found = [blocks(*row[2:]) for row in rows]
+            columns = (pa.array([r[0] for r in rows], id_type), pa.array([r[1] for r in rows], pa.string()))
+            yield pa.record_batch([*columns, pa.array(found, pa.list_(pa.string()))], ["id", "url", "blocks"])
+
+    return source.select("id", "url", "html", "wrapper", "slots", "hashes").mapInArrow(
+        run, f"id {kind.simpleString()}, url string, blocks array<string>"
+    )
+
+
+def templates(counts: DataFrame, wrapped: DataFrame, constant: float) -> DataFrame:
+    """``host, wrapper, slots, hashes``: the blocks that most pages of the host have in the same slot, at most as
+    many as the wrapper has nodes. Hosts without any are left out."""
+    sizes = wrapped.select("host", "pages")
+    fixed = counts.join(_sized(sizes, "host"), "host").filter(F.col("n") >= constant * F.col("pages"))
+    listed = stored(fixed.select("host", "slot", "hash"), "constants").groupBy("host")
+    found = listed.agg(F.collect_list(F.struct("slot", "hash")).alias("found"))
+    return found.select("host", "found.slot", "found.hash").toDF("host", "slots", "hashes").join(wrapped.select("host", "wrapper"), "host")
 
 
 def main_text(
@@ -139,14 +152,8 @@ def main_text(
         F.col(id_col).alias("_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), text_of(html_col).alias("html")
     )
     wrapped = stored(wrappers(source, "_id", min_pages), "wrappers")
-    rows = stored(parsed(source, "_id", wrapped), "blocks")
-    found = stored(templates(rows.filter("n IS NOT NULL"), wrapped, constant), "templates")
-    by_page = rows.filter("n IS NULL").select("id", "url", "host", "blocks").join(_sized(found, "host"), "host", "left")
-    varying = F.filter(
-        "blocks",
-        lambda b: ~F.coalesce(F.array_contains(F.col("template"), F.struct(b["slot"].alias("slot"), b["hash"].alias("hash"))), F.lit(False)),
-    )
-    texts = F.transform(varying, lambda b: b["text"])
-    return by_page.select(
-        F.col("id").alias(id_col), F.col("url").alias(url_col), F.array_join(texts, " ").alias("text"), texts.alias("blocks")
+    layouts = stored(templates(slot_counts(source, wrapped), wrapped, constant), "templates")
+    found = extracted(source, layouts)
+    return found.select(
+        F.col("id").alias(id_col), F.col("url").alias(url_col), F.array_join("blocks", " ").alias("text"), "blocks"
     )
