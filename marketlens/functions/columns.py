@@ -4,16 +4,29 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MONEY = "decimal(18,2)"
+#: Amounts of a row: up to 20 digits before the point and 8 after it. Their sums have 10 more digits.
+MONEY = "decimal(28,8)"
 MICROS_PER_DAY = 86_400_000_000
 
 
 def money(col: str | Column) -> Column:
-    """A money amount as an exact decimal; text that is no number becomes null."""
-    return _col(col).try_cast(MONEY)
+    """A money amount as an exact decimal. Text that is no number becomes null, as does NaN; an amount too
+    large for the type is an error."""
+    col = _col(col)
+    exact, number = col.try_cast(MONEY), col.try_cast("double")
+    wide = number.isNotNull() & ~F.isnan(number) & exact.isNull()
+    message = F.concat(F.lit(f"amount does not fit {MONEY}: "), col.cast("string"))
+    return F.when(wide, F.raise_error(message).cast(MONEY)).otherwise(exact)
+
+
+def amount(df: DataFrame, name: str) -> Column:
+    """A money column with all its digits: decimals as they are, anything else as ``money``."""
+    kind = df.schema[name].dataType
+    return F.col(name) if isinstance(kind, T.DecimalType) else money(name)
 
 
 def timestamp(col: str | Column) -> Column:

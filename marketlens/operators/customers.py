@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.columns import (
+    amount,
     mean,
-    money,
     ratio,
     timestamp,
     total,
@@ -181,7 +181,7 @@ def ltv_summary(ltv: DataFrame) -> DataFrame:
     """
     repeats = F.count_if(F.col("order_count") > 1)
     return ltv.agg(
-        mean(money("total_spent")).alias("avg_clv"),
+        mean(amount(ltv, "total_spent")).alias("avg_clv"),
         mean(F.col("order_count")).alias("avg_freq"),
         repeats.alias("repeat_customers"),
         (ratio(repeats, F.count("*")) * 100).alias("repeat_rate"),

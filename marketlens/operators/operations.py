@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.columns import mean, money, ratio, total, whole_days
+from marketlens.functions.columns import amount, mean, ratio, total, whole_days
 from marketlens.functions.ranks import day_quantiles, quantile, quantiles
 from marketlens.functions.tables import counted, histogram, ranked, with_share
 from marketlens.sources.scratch import materialize
@@ -51,7 +51,7 @@ def freight_totals(items: DataFrame) -> DataFrame:
         return items.agg(
             F.lit(0.0).alias("total_freight_cost"), F.lit(0.0).alias("avg_freight_per_order")
         )
-    per_order = items.groupBy("order_id").agg(F.sum(money("freight_value")).alias("freight"))
+    per_order = items.groupBy("order_id").agg(F.sum(amount(items, "freight_value")).alias("freight"))
     known = F.col("order_id").isNotNull()
     return per_order.agg(
         total(F.col("freight")).alias("total_freight_cost"),
@@ -107,7 +107,7 @@ def freight_distribution(items: DataFrame, q: float = 0.95, bins: int = 30) -> D
     read once, for their (value, count) table. That table and its trimmed part are stored,
     as cut-off, median and bins each pass over them.
     """
-    positive = items.select(money("freight_value").alias("freight")).where("freight > 0")
+    positive = items.select(amount(items, "freight_value").alias("freight")).where("freight > 0")
     values = materialize(counted(positive, "freight"))
     cutoff = quantile(values, "freight", q, weight="n")
     kept = materialize(values.where(F.col("freight").cast("double") <= cutoff))
@@ -155,7 +155,7 @@ def rank_sellers(performance: DataFrame, k: int = 10, slowest: bool = False) ->
 
 def payment_summary(payments: DataFrame) -> DataFrame:
     """``top_payment, payment_pct`` (of all rows), ``avg_payment_value, avg_installments``."""
-    value, parts = money("payment_value"), F.col("payment_installments")
+    value, parts = amount(payments, "payment_value"), F.col("payment_installments")
     per_type = payments.groupBy("payment_type").agg(
         F.count("*").alias("n"),
         F.sum(value).alias("paid"),

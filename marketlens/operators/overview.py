@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marketlens.functions.columns import money, ratio, timestamp, total, within_days, year_month
+from marketlens.functions.columns import amount, ratio, timestamp, total, within_days, year_month
 from marketlens.functions.tables import ranked, with_growth
 from marketlens.operators.periods import PURCHASED, previous_bounds, restrict_to_orders
 
@@ -19,7 +19,7 @@ def payments_per_order(payments: DataFrame) -> DataFrame:
     Carries all that row-level sums, counts and means over order x payment need, so that
     an order with very many payments is added up before it reaches a join.
     """
-    value = money("payment_value")
+    value = amount(payments, "payment_value")
     return payments.groupBy("order_id").agg(
         F.count("*").alias("payment_rows"),
         F.sum(value).alias("paid"),

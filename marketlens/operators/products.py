@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.columns import money, ratio, total
+from marketlens.functions.columns import amount, ratio, total
 from marketlens.functions.tables import ranked
 from marketlens.operators.periods import restrict_to_orders
 
@@ -25,7 +25,7 @@ ATTRIBUTES = {
 
 def product_sales(items: DataFrame, orders: DataFrame) -> DataFrame:
     """Items and revenue per product within ``orders``: ``product_id, n, revenue``."""
-    sold = items.select("order_id", "product_id", "order_item_id", money("price").alias("price"))
+    sold = items.select("order_id", "product_id", "order_item_id", amount(items, "price").alias("price"))
     return (
         restrict_to_orders(sold, orders)
         .groupBy("product_id")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.columns import money, ratio, shortened, timestamp, year_month
+from marketlens.functions.columns import amount, ratio, shortened, timestamp, year_month
 from marketlens.functions.tables import left_join_many, ranked
 
 CATEGORY = "product_category_name_english"
@@ -51,7 +51,7 @@ def reviews_by_category(
     instead of a row per item.
     """
     categories = _with_category(products, translation).select("product_id", CATEGORY)
-    price = money("price")
+    price = amount(items, "price")
     per_category = (
         items.join(categories, "product_id", "left")
         .groupBy("order_id", CATEGORY)
@@ -91,12 +91,12 @@ def review_kpis(reviews: DataFrame, by: str | None = None) -> DataFrame:
         reviews = reviews.where(F.col(by).isNotNull())
     distinct = F.countDistinct("review_id")
     positive = ratio(_rows(reviews, F.col("review_score") >= 4), distinct) * 100
-    prices = F.sum("price_rows") if "price_rows" in reviews.columns else F.count(money("price"))
+    prices = F.sum("price_rows") if "price_rows" in reviews.columns else F.count(amount(reviews, "price"))
     return reviews.groupBy(*([by] if by else [])).agg(
         _mean_score(reviews).alias("avg_rating"),
         distinct.alias("total_reviews"),
         F.coalesce(positive, F.lit(0.0)).alias("positive_pct"),
-        ratio(F.sum(money("price")), prices).alias("avg_price"),
+        ratio(F.sum(amount(reviews, "price")), prices).alias("avg_price"),
     )
 
 

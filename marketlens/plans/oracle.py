@@ -28,7 +28,7 @@ VIEWS = {
         FROM lineitem""",
     "v_payments": """
         SELECT l_orderkey AS order_id, l_returnflag AS payment_type,
-            CAST(sum(CAST(l_extendedprice AS decimal(18,2))) AS decimal(18,2)) AS payment_value,
+            sum(CAST(l_extendedprice AS decimal(18,2))) AS payment_value,
             count(*) AS payment_installments
         FROM lineitem GROUP BY l_orderkey, l_returnflag""",
     "v_customers": """
@@ -184,7 +184,7 @@ VIEWS = {
             AND review_score IN (1, 2, 3, 4, 5)""",
     "v_product_sales": """
         SELECT product_id, count(order_item_id) AS sales_volume,
-            CAST(sum(price) AS decimal(18,2)) AS total_revenue
+            sum(price) AS total_revenue
         FROM v_items WHERE order_id IN (SELECT order_id FROM v_period) GROUP BY product_id""",
     "v_quadrants": """
         SELECT *, CASE
@@ -414,7 +414,7 @@ QUERIES = {
         SELECT * FROM v_states_geo ORDER BY total_orders DESC, customer_state LIMIT 5""",
     "q24_customer_ltv": "SELECT * FROM v_ltv",
     "q25_ltv_summary": """
-        SELECT CAST(sum(CAST(total_spent AS decimal(18,2))) AS double) / count(*) AS avg_clv,
+        SELECT CAST(sum(CAST(total_spent AS decimal(38,2))) AS double) / count(*) AS avg_clv,
             median(total_spent) AS median_clv, avg(order_count) AS avg_freq,
             count(*) FILTER (order_count > 1) AS repeat_customers,
             CAST(count(*) FILTER (order_count > 1) AS double) / count(*) * 100 AS repeat_rate

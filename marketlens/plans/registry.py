@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.functions.columns import mean, money
+from marketlens.functions.columns import mean
 from marketlens.functions.tables import histogram, with_growth
 from marketlens.operators import (
     customers,
@@ -173,7 +173,7 @@ def _quadrant_picks(shop: Shop) -> DataFrame:
     sales = products.product_sales(shop.items, _orders(shop)).select(
         "product_id",
         F.col("n").alias("sales_volume"),
-        money("revenue").alias("total_revenue"),
+        F.col("revenue").alias("total_revenue"),
     )
     averages = sales.agg(
         F.struct(mean(F.col("sales_volume")).alias("x"), mean(F.col("total_revenue")).alias("y"))

@@ -11,10 +11,12 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.functions.columns import MONEY
 
 PERIOD = ("1998-01-01", "1998-12-31")
 
+#: The given prices have two decimals.
+CENTS = "decimal(18,2)"
+
 
 class Shop:
     """Lazy shop tables over one data folder."""
@@ -52,9 +54,9 @@ class Shop:
             F.col("l_linenumber").alias("order_item_id"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_suppkey").alias("seller_id"),
-            F.col("l_extendedprice").cast(MONEY).alias("price"),
+            F.col("l_extendedprice").cast(CENTS).alias("price"),
             (F.col("l_quantity").cast(exact) * F.col("l_tax").cast(exact))
-            .cast(MONEY)
+            .cast(CENTS)
             .alias("freight_value"),
         )
 
@@ -68,7 +70,7 @@ class Shop:
                 F.col("l_returnflag").alias("payment_type"),
             )
             .agg(
-                F.sum(F.col("l_extendedprice").cast(MONEY)).cast(MONEY).alias("payment_value"),
+                F.sum(F.col("l_extendedprice").cast(CENTS)).alias("payment_value"),
                 F.count("*").alias("payment_installments"),
             )
         )

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlens.functions.columns import MONEY, money
 from marketlens.sources.schemas import (
     COLUMNS,
     FILES,
@@ -48,24 +49,31 @@ def load_table(spark: SparkSession, path: str, table: str, suffix: str = ".csv")
 
 
 def typed(raw: DataFrame, table: str) -> DataFrame:
-    """Declared columns in their types, bad values as null; other columns unchanged."""
+    """Declared columns in their types; other columns unchanged.
+
+    What is no number, no date or, in a column of whole numbers, not whole becomes null. Amounts keep up to
+    eight decimals, and one that is too large is an error.
+    """
     declared = COLUMNS.get(table, {})
     given = dict(raw.dtypes)
     required = declared.keys() - OPTIONAL.get(table, set()) - given.keys()
     if required:
         raise ValueError(f"{table} lacks the columns {sorted(required)}")
 
-    def column(name: str, to: str) -> str:
+    def column(name: str, to: str) -> Column:
         if name not in given:
-            return f"CAST(NULL AS {to}) AS `{name}`"
+            return F.lit(None).cast(to).alias(name)
+        if to == MONEY:
+            return money(name).alias(name)
         value = f"`{name}`"
-        if to == "int" and given[name] == "string":
-            value = f"try_cast({value} AS double)"  # "3.0" counts as a whole number
-        return f"try_cast({value} AS {to}) AS `{name}`"
+        if to == "int":  # "3.0" is a whole number, "3.7" is none
+            number = f"try_cast({value} AS double)"
+            value = f"CASE WHEN {number} = floor({number}) THEN {number} END"
+        return F.expr(f"try_cast({value} AS {to})").alias(name)
 
-    return raw.selectExpr(
+    return raw.select(
         *(column(name, to) for name, to in declared.items()),
-        *(f"`{c}`" for c in given if c not in declared),
+        *(F.col(f"`{c}`") for c in given if c not in declared),
     )
 
 

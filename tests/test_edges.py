@@ -351,3 +351,26 @@ def test_top_k_has_no_random_ties(frame):
     items = frame([("o", i, f"p{i}", "s", None, None) for i in range(4)], ITEM)
     goods = frame([(f"p{i}", c) for i, c in enumerate("dcba")], "product_id string, product_category_name string")
     assert rows(overview.category_items_sold(items, goods, k=2)) == [("a", 1), ("b", 1)]
+
+
+def test_amounts_keep_their_digits(spark):
+    orders = spark.createDataFrame([("o", "c")], "order_id string, customer_id string")
+    for kind in ("string", "double", "decimal(10,3)"):
+        payments = spark.createDataFrame([("o", "0.004")] * 3, "order_id string, payment_value string")
+        payments = payments.withColumn("payment_value", F.col("payment_value").cast(kind))
+        assert customers.customer_ltv(orders, payments).first().total_spent == 0.012
+
+
+def test_an_amount_too_large_is_an_error(spark):
+    orders = spark.createDataFrame([("o", "c")], "order_id string, customer_id string")
+    payments = spark.createDataFrame([("o", "1e30")], "order_id string, payment_value string")
+    with pytest.raises(Exception, match="does not fit"):
+        customers.customer_ltv(orders, payments).collect()
+    missing = spark.createDataFrame([("o", "much"), ("o", "NaN")], "order_id string, payment_value string")
+    assert customers.customer_ltv(orders, missing).first().total_spent == 0
+
+
+def test_mean_and_median_of_large_totals_agree(spark):
+    ltv = spark.createDataFrame([("a", 2e16, 1), ("b", 10.0, 1)], "customer_id string, total_spent double, order_count long")
+    row = customers.ltv_summary(ltv).first()
+    assert row.avg_clv == row.median_clv == 1e16 + 5

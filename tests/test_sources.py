@@ -41,9 +41,11 @@ def test_optional_and_missing_columns(spark):
 
 def test_bad_numbers_become_null(spark, tmp_path):
     path = tmp_path / "order_payments_dataset.csv"
-    path.write_text("order_id,payment_type,payment_value,payment_installments\no1,card,12.345,2\no2,card,much,n/a\n")
+    path.write_text("order_id,payment_type,payment_value,payment_installments\no1,card,10.005,2\no2,card,much,n/a\no3,card,7,3.7\no4,card,1e3,4.0\n")
     rows = load_table(spark, str(path), "order_payments").orderBy("order_id").collect()
-    assert [tuple(r) for r in rows] == [("o1", "card", Decimal("12.35"), 2), ("o2", "card", None, None)]
+    assert [tuple(r) for r in rows] == [
+        ("o1", "card", Decimal("10.005"), 2), ("o2", "card", None, None), ("o3", "card", 7, None), ("o4", "card", 1000, 4),
+    ]
 
 
 def test_parquet_and_csv_load_alike(spark, folder, tmp_path):
