@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,38 +12,43 @@ from marketlens.functions.columns import MONEY, money
 from marketlens.sources.schemas import (
     COLUMNS,
     FILES,
-    FREE_TEXT,
     NULL_TOKENS,
     OPTIONAL,
     UNIQUE_KEYS,
 )
 
 
-def load_tables(spark: SparkSession, path: str, suffix: str = ".csv") -> dict[str, DataFrame]:
+def load_tables(
+    spark: SparkSession, path: str, suffix: str = ".csv", single_line: Collection[str] = ()
+) -> dict[str, DataFrame]:
     """All shop tables below ``path`` by name; ``suffix`` is '.csv' or '.parquet'.
 
     A table may be one file or a folder of part files of that name. Columns are found by
     name, so their order does not matter and further columns stay as text.
 
-    Only the review table is read with line breaks inside quotes allowed. Such a file
-    cannot be split, so give it as a folder of many files (or as Parquet) when it is large.
+    Cells of any table may hold line breaks inside quotes, so a CSV file is read by one task: give
+    a large table as a folder of many files, as Parquet, or name it in ``single_line``. Its files
+    are split then, and a row that does not have all its cells on one line is an error.
     """
     if suffix not in (".csv", ".parquet"):
         raise ValueError(f"suffix must be '.csv' or '.parquet', not {suffix!r}")
     root = path.rstrip("/")
     return {
-        table: load_table(spark, f"{root}/{stem}{suffix}", table, suffix)
+        table: load_table(spark, f"{root}/{stem}{suffix}", table, suffix, table in single_line)
         for table, stem in FILES.items()
     }
 
 
-def load_table(spark: SparkSession, path: str, table: str, suffix: str = ".csv") -> DataFrame:
+def load_table(
+    spark: SparkSession, path: str, table: str, suffix: str = ".csv", single_line: bool = False
+) -> DataFrame:
     """One shop table; see ``load_tables``."""
     if suffix == ".parquet":
         return typed(spark.read.parquet(path), table)
-    raw = spark.read.csv(
-        path, header=True, quote='"', escape='"', multiLine=table in FREE_TEXT
-    )
+    reader = spark.read.option("multiLine", not single_line)
+    if single_line:  # all cells of a row are looked at, or a broken row could pass
+        reader = reader.option("mode", "FAILFAST").option("columnPruning", False)
+    raw = reader.csv(path, header=True, quote='"', escape='"')
     tokens = ", ".join(f"'{t}'" for t in NULL_TOKENS)
     present = (f"CASE WHEN `{c}` NOT IN ({tokens}) THEN `{c}` END AS `{c}`" for c in raw.columns)
     return typed(raw.selectExpr(*present), table)

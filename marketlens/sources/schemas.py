@@ -106,6 +106,3 @@ NULL_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
-
-# Tables with free text, whose cells may hold line breaks.
-FREE_TEXT = {"order_reviews"}

@@ -7,7 +7,7 @@ import pytest
 
 from marketlens.plans.shop import Shop
 from marketlens.sources.reader import key_violations, load_table, load_tables, typed
-from marketlens.sources.schemas import FILES
+from marketlens.sources.schemas import COLUMNS, FILES
 from marketlens.sources.scratch import materialize, scratch_dir
 from marketlens.sources.writer import read_reviews, write_reviews
 
@@ -39,6 +39,21 @@ def test_optional_and_missing_columns(spark):
         load_tables(spark, "/nowhere", ".txt")
 
 
+@pytest.mark.parametrize("table", FILES)
+def test_line_breaks_in_any_table(spark, tmp_path, table):
+    columns = [*(COLUMNS.get(table) or ["id"]), "note"]
+    path = tmp_path / f"{table}.csv"
+    cells = ",".join("" for _ in columns[1:])
+    path.write_text(f'{",".join(columns)}\n"k1",{cells}"two\nlines"\n"k2",{cells}"one"\n')
+    rows = load_table(spark, str(path), table).orderBy("note").collect()
+    assert [r.note for r in rows] == ["one", "two\nlines"]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        load_table(spark, str(path), table, single_line=True).select("note").count()
+        load_table(spark, str(path), table, single_line=True).select(columns[0]).collect()
+    path.write_text(f'{",".join(columns)}\n"k1",{cells}"one"\n')
+    assert load_table(spark, str(path), table, single_line=True).count() == 1
+
+
 def test_bad_numbers_become_null(spark, tmp_path):
     path = tmp_path / "order_payments_dataset.csv"
     path.write_text("order_id,payment_type,payment_value,payment_installments\no1,card,10.005,2\no2,card,much,n/a\no3,card,7,3.7\no4,card,1e3,4.0\n")
