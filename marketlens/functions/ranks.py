@@ -6,8 +6,9 @@ instead: the partition sizes tell which partitions hold the wanted ranks, and on
 sorted, each in its own task.
 
 Spark samples the rows to choose the ranges and may choose others when it plans again, so
-the partitioned rows are stored once (``scratch.materialize``) before they are read twice.
-Building one of these tables therefore runs a job.
+the partitioned rows are stored once (``scratch.materialize``), in a folder per partition, before
+they are read twice. Building one of these tables therefore runs a job. A wanted partition is sorted
+in one task: set ``spark.sql.shuffle.partitions`` so that one fits an executor.
 """
 
 from __future__ import annotations
@@ -35,10 +36,13 @@ def keys_at_ranks(
     stored = materialize(
         df.selectExpr(*names, f"CAST({times} AS bigint) AS w")
         .repartitionByRange(*keys)
-        .selectExpr(f"struct({', '.join(names)}) AS key", "w", "spark_partition_id() AS part")
+        .selectExpr(f"struct({', '.join(names)}) AS key", "w", "spark_partition_id() AS part"),
+        "ranks",
+        partition_by="part",
     )
 
-    # One row per partition from here to the join.
+    # One row per partition from here to the join. This reads the weights alone, and the join the
+    # folders of the wanted partitions.
     wanted = (
         stored.groupBy("part")
         .agg(F.expr("sum(w) AS size"))

@@ -1,36 +1,41 @@
-"""Intermediate results in the shared folder of the cluster."""
+"""Intermediate results in the shared folder of the cluster.
+
+Results that are read repeatedly are written there as Parquet: computed once, safe from lost executors,
+and later reads fetch only the columns and partitions they need. Everything an application writes lies in
+one folder of its own, which ``clean`` removes.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Where it is unset, local sessions (tests) get a temporary folder; a cluster must name
-    one, as a folder of one machine would be lost with that machine.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="marketlens-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{scratch_dir(spark).rstrip('/')}/marketlens/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once into reliable storage, for results that are read repeatedly."""
-    scratch_dir(df.sparkSession)
-    return df.checkpoint()
+    """The folder named by ``spark.checkpoint.dir``, else the session's warehouse, which executors share as well."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/marketlens/{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """A path of its own in ``folder``, or in the folder of this application."""
+    return f"{(folder or _own(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str = "table", partition_by: str | None = None, folder: str | None = None) -> DataFrame:
+    """Writes ``df`` and reads it back; ``partition_by`` is a column to make a folder of each value."""
+    path = new_path(df.sparkSession, name, folder)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes what this application has written. Tables that were materialized cannot be read after it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,7 +8,7 @@ import pytest
 from marketlens.plans.shop import Shop
 from marketlens.sources.reader import key_violations, load_table, load_tables, typed
 from marketlens.sources.schemas import COLUMNS, FILES
-from marketlens.sources.scratch import materialize, scratch_dir
+from marketlens.sources.scratch import clean, materialize, new_path, scratch_dir
 from marketlens.sources.writer import read_reviews, write_reviews
 
 
@@ -111,3 +111,18 @@ def test_unknown_format(spark, tmp_path):
 def test_shared_folder_comes_from_the_session(spark):
     assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert materialize(spark.range(3)).count() == 3
+
+
+def test_partitions_are_folders_and_go_with_the_clean_up(spark, tmp_path):
+    folder = str(tmp_path / "scratch")
+    df = spark.range(100).selectExpr("id", "CAST(id % 4 AS int) AS part", "id * 2 AS twice")
+    stored = materialize(df, "x", "part", folder)
+    assert stored.columns == df.columns and stored.exceptAll(df).count() == 0 and stored.count() == 100
+    plan = stored.where("part = 3").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan and "twice" not in plan
+    own = new_path(spark, "y")
+    spark.range(2).write.parquet(own)
+    clean(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(own)
+    assert stored.count() == 100
