@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketlens.functions.columns import growth_label, growth_pct, ratio
@@ -21,9 +20,8 @@ def counted(df: DataFrame, key: str) -> DataFrame:
 
 
 def with_share(df: DataFrame, n: str = "n", share: str = "pct") -> DataFrame:
-    """Percent of the column total. Meant for grouped results: one row per label."""
-    everything = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return df.withColumn(share, ratio(F.col(n), F.sum(n).over(everything)) * 100)
+    """Percent of the column total, which comes in as a scalar: no row leaves its task."""
+    return df.withColumn(share, ratio(F.col(n), df.agg(F.sum(n)).scalar()) * 100)
 
 
 def with_growth(df: DataFrame, current: str, previous: str, cap: int = 999) -> DataFrame:

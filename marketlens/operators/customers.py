@@ -203,16 +203,12 @@ def payment_mix(payments: DataFrame) -> DataFrame:
 
 def payment_trend(orders: DataFrame, payments: DataFrame) -> DataFrame:
     """Payment rows by month and type: ``year_month, payment_type, n``."""
-    per_order = (
-        payments.where(F.col("payment_type").isNotNull())
-        .groupBy("order_id", "payment_type")
-        .agg(F.count("*").alias("n"))
-    )
+    paid = payments.where(F.col("payment_type").isNotNull()).select("order_id", "payment_type")
     months = orders.select("order_id", year_month(timestamp(PURCHASED)).alias("year_month"))
     return (
-        per_order.join(months.where(F.col("year_month").isNotNull()), "order_id")
+        paid.join(months.where(F.col("year_month").isNotNull()), "order_id")
         .groupBy("year_month", "payment_type")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.count("*").alias("n"))
     )
 
 

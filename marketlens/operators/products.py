@@ -73,22 +73,29 @@ def product_rating_sales(
 
     Output: ``product_id, category, sales_volume, total_revenue``, the product attributes
     present in ``products`` and ``avg_rating``. The score is weighted by item x review
-    rows. Both sides are added up per order before they meet, so an order with many items
-    and many reviews never turns into all its pairs.
+    rows. Reviews are added up per order before they meet items, so an order with many items
+    and many reviews never turns into all its pairs, and items are shuffled once: each order
+    carries its scores and whether it is one of ``orders``.
     """
     present = {c: name for c, name in ATTRIBUTES.items() if c in products.columns}
     scores = reviews.groupBy("order_id").agg(
         F.sum("review_score").alias("score"), F.count("review_score").alias("scored")
     )
-    bought = items.groupBy("order_id", "product_id").agg(F.count("*").alias("times"))
-    ratings = (
-        bought.join(scores, "order_id")
+    chosen = orders.select("order_id").distinct().withColumn("chosen", F.lit(True))
+    per_order = scores.join(chosen, "order_id", "full")
+    sold = items.select(
+        "order_id", "product_id", "order_item_id", amount(items, "price").alias("price")
+    )
+    per_product = (
+        sold.join(per_order, "order_id")
         .groupBy("product_id")
         .agg(
-            ratio(
-                F.sum(F.col("times") * F.col("score")), F.sum(F.col("times") * F.col("scored"))
-            ).alias("avg_rating")
+            F.max("chosen").alias("chosen"),
+            F.count(F.when(F.col("chosen"), F.col("order_item_id"))).alias("n"),
+            F.sum(F.when(F.col("chosen"), F.col("price"))).alias("revenue"),
+            ratio(F.sum("score"), F.sum("scored")).alias("avg_rating"),
         )
+        .where("chosen")
     )
     described = products.select(
         "product_id",
@@ -96,9 +103,7 @@ def product_rating_sales(
         *(F.col(c).alias(name) for c, name in present.items()),
     ).where(F.col("category").isNotNull())
     return (
-        product_sales(items, orders)
-        .join(described, "product_id")
-        .join(ratings, "product_id", "left")
+        per_product.join(described, "product_id")
         .select(
             "product_id",
             "category",
