@@ -82,9 +82,9 @@ def growth_pct(current: Column, previous: Column) -> Column:
 
 
 def growth_label(pct: Column, cap: int = 999) -> Column:
-    """'12.3%', '999%+' from the cap on, 'N/A' without a growth figure."""
+    """'12.3%', '999%+' from the cap on and for NaN, 'N/A' without a growth figure."""
     return (
-        F.when(pct.isNull() | F.isnan(pct), "N/A")
+        F.when(pct.isNull(), "N/A")
         .when(pct < cap, F.concat(fixed(pct, "0.0"), F.lit("%")))
         .otherwise(f"{cap}%+")
     )

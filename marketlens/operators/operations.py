@@ -62,11 +62,12 @@ def freight_totals(items: DataFrame) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, col: str) -> DataFrame:
-    """``count, mean, std, min, q25, q50, q75, max`` of the non-null values, exact.
+    """``count, mean, std, min, q25, q50, q75, max``, exact. Nulls and NaN do not count.
 
     Everything is derived from the stored (value, count) table, so the rows are read once.
     """
-    values = materialize(counted(df, col))
+    present = df.where(~F.isnan(F.col(col).cast("double")))
+    values = materialize(counted(present, col))
     x, n = F.col(col), F.col("n")
     q = quantiles(values, col, (0.25, 0.5, 0.75), weight="n").scalar()
     spread = values.agg(

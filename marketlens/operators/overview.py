@@ -100,8 +100,8 @@ def with_previous_year(monthly: DataFrame, measure: str) -> DataFrame:
     number = F.substring("year_month", 1, 4).cast("int") * 12 + F.substring(
         "year_month", 6, 2
     ).cast("int")
-    year_ago = W.partitionBy().orderBy(number).rangeBetween(-12, -12)
-    return monthly.withColumn("previous", F.max(measure).over(year_ago))
+    before = monthly.groupBy((number + 12).alias("_month")).agg(F.max(measure).alias("previous"))
+    return monthly.withColumn("_month", number).join(before, "_month", "left").drop("_month")
 
 
 def orders_per_customer_pct(orders: DataFrame) -> DataFrame:

@@ -162,7 +162,9 @@ def rating_by_weekday(reviews: DataFrame) -> DataFrame:
     )
 
 
-def sample_comments(reviews: DataFrame, mood: str, k: int = 5) -> DataFrame:
+def sample_comments(
+    reviews: DataFrame, mood: str, k: int = 5, limit: int = SAMPLE_LIMIT
+) -> DataFrame:
     """The first comments of a sentiment by review id: ``rating, title, comment, date``."""
     commented = reviews.where(
         F.col("review_comment_message").isNotNull() & (sentiment(F.col("review_score")) == mood)
@@ -173,7 +175,7 @@ def sample_comments(reviews: DataFrame, mood: str, k: int = 5) -> DataFrame:
             "order_id",
             F.concat(F.col("review_score").cast("string"), F.lit("/5")).alias("rating"),
             F.coalesce("review_comment_title", F.lit("-")).alias("title"),
-            shortened(F.col("review_comment_message"), SAMPLE_LIMIT).alias("comment"),
+            shortened(F.col("review_comment_message"), limit).alias("comment"),
             timestamp("review_creation_date").alias("date"),
         ),
         F.asc("review_id"), F.asc("order_id"), F.asc("comment"), F.asc("title"),
@@ -221,14 +223,14 @@ def review_table(reviews: DataFrame) -> DataFrame:
     return reviews.select(*DISPLAY_NAMES)
 
 
-def review_display(reviews: DataFrame) -> DataFrame:
+def review_display(reviews: DataFrame, limit: int = DISPLAY_LIMIT) -> DataFrame:
     """The review table as users see it: labels, prices, fillers, shortened messages."""
     score, price = F.col("review_score"), F.col("price")
     shown = {
         "review_score": F.concat(F.lit("⭐ "), score.cast("string"), F.lit("/5")),
         "review_comment_title": F.coalesce("review_comment_title", F.lit(NO_TITLE)),
         "review_comment_message": F.coalesce(
-            shortened(F.col("review_comment_message"), DISPLAY_LIMIT), F.lit(NO_MESSAGE)
+            shortened(F.col("review_comment_message"), limit), F.lit(NO_MESSAGE)
         ),
         "review_creation_date": F.col("review_creation_date"),
         "price": F.concat(F.lit("€ "), F.format_number(price, 2)),

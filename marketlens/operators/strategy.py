@@ -111,9 +111,13 @@ def roi_projection(
     investment: float,
     increase_pct: float,
     months: int = 12,
+    default_monthly: float = DEFAULT_MONTHLY_REVENUE,
 ) -> DataFrame:
     """Projected return of an investment for every key, month by month.
 
+    A key without positive revenue counts with ``default_monthly`` a month; for a null revenue
+    nothing is projected and all figures but the investment are null.
+
     ``revenue_col`` is a year of revenue in the unit of ``investment``. Output: ``key,
     month, monthly_increase, annual_increase, cumulative_revenue, investment, net_benefit,
     roi_pct, payback_months`` (infinite without an increase).
@@ -122,7 +126,7 @@ def roi_projection(
         raise ValueError(f"months must be at least 1, not {months}")
     invested = F.lit(float(investment))
     yearly = F.col(revenue_col).cast("double")
-    monthly = F.when(yearly > 0, yearly / 12).otherwise(DEFAULT_MONTHLY_REVENUE)
+    monthly = F.when(yearly > 0, yearly / 12).when(yearly.isNotNull(), default_monthly)
     gain, annual = F.col("monthly_increase"), F.col("annual_increase")
     return (
         revenue.select(key, (monthly * (increase_pct / 100)).alias("monthly_increase"))
@@ -130,7 +134,7 @@ def roi_projection(
         .withColumn("roi_pct", F.try_divide(annual - invested, invested) * 100)
         .withColumn(
             "payback_months",
-            F.when(gain > 0, F.try_divide(invested, gain)).otherwise(float("inf")),
+            F.when(gain > 0, F.try_divide(invested, gain)).when(gain.isNotNull(), float("inf")),
         )
         .withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(months))))
         .select(

@@ -19,7 +19,11 @@ from marketlens.sources.schemas import (
 
 
 def load_tables(
-    spark: SparkSession, path: str, suffix: str = ".csv", single_line: Collection[str] = ()
+    spark: SparkSession,
+    path: str,
+    suffix: str = ".csv",
+    single_line: Collection[str] = (),
+    check_keys: bool = True,
 ) -> dict[str, DataFrame]:
     """All shop tables below ``path`` by name; ``suffix`` is '.csv' or '.parquet'.
 
@@ -29,14 +33,23 @@ def load_tables(
     Cells of any table may hold line breaks inside quotes, so a CSV file is read by one task: give
     a large table as a folder of many files, as Parquet, or name it in ``single_line``. Its files
     are split then, and a row that does not have all its cells on one line is an error.
+
+    The operators count rows of the tables in ``UNIQUE_KEYS``, so a repeated key there is an error,
+    found by one aggregation per table. Pass ``check_keys=False`` if the keys are known to be unique.
     """
     if suffix not in (".csv", ".parquet"):
         raise ValueError(f"suffix must be '.csv' or '.parquet', not {suffix!r}")
     root = path.rstrip("/")
-    return {
+    tables = {
         table: load_table(spark, f"{root}/{stem}{suffix}", table, suffix, table in single_line)
         for table, stem in FILES.items()
     }
+    if check_keys:
+        repeated = key_violations(tables).where("repeated_keys > 0").collect()
+        if repeated:
+            counts = ", ".join(f"{r['table']} ({r['repeated_keys']})" for r in repeated)
+            raise ValueError(f"tables with repeated keys: {counts}")
+    return tables
 
 
 def load_table(

@@ -374,3 +374,33 @@ def test_mean_and_median_of_large_totals_agree(spark):
     ltv = spark.createDataFrame([("a", 2e16, 1), ("b", 10.0, 1)], "customer_id string, total_spent double, order_count long")
     row = customers.ltv_summary(ltv).first()
     assert row.avg_clv == row.median_clv == 1e16 + 5
+
+
+def test_nan_is_missing_in_descriptions_and_beyond_all_growth(spark):
+    row = operations.describe_numeric(spark.createDataFrame([(1.0,), (3.0,), (float("nan"),), (None,)], "x double"), "x").first()
+    assert (row["count"], row["mean"], row["max"]) == (2, 2.0, 3.0)
+    grown = spark.createDataFrame([(float("nan"), 1.0), (1.0, None)], "now double, before double")
+    assert [r.growth_label for r in with_growth(grown, "now", "before").collect()] == ["999%+", "N/A"]
+
+
+def test_limits_and_defaults_are_parameters(spark):
+    revenue = spark.createDataFrame([("a", 0.0), ("b", None)], "state string, revenue double")
+    rows = strategy.roi_projection(revenue, "state", "revenue", 100, 10, months=1, default_monthly=50.0).orderBy("state").collect()
+    assert rows[0].monthly_increase == 5.0 and rows[1].monthly_increase is None and rows[1].payback_months is None
+
+
+def test_hot_order_in_ratings_and_sellers(spark):
+    """One order holds a third of the items."""
+    items = spark.range(3000).selectExpr(
+        "CAST(CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS string) AS order_id", "CAST(id % 5 AS string) AS product_id",
+        "CAST(1 AS int) AS order_item_id", "CAST(id % 4 AS string) AS seller_id", "CAST(1 AS decimal(18,2)) AS price",
+    )
+    orders = items.select("order_id").distinct()
+    given = spark.createDataFrame([("7", 1, "r1"), ("7", 3, "r2"), ("1", 5, "r3")], "order_id string, review_score int, review_id string")
+    goods = spark.createDataFrame([(str(i), "c") for i in range(5)], "product_id string, product_category_name string")
+    rows = products.product_rating_sales(items, goods, given, orders).collect()
+    assert sum(r.sales_volume for r in rows) == 3000 == sum(r.total_revenue for r in rows)
+    assert {r.product_id: r.avg_rating for r in rows}["0"] == 2.0
+    delivered = orders.selectExpr("order_id", "CASE WHEN order_id = '7' THEN 4 ELSE 1 END AS delivery_time")
+    sellers = operations.seller_performance(delivered, items, min_orders=1).collect()
+    assert len(sellers) == 4 and sum(r.order_volume for r in sellers) == 2000 + 4 - 1

@@ -89,6 +89,16 @@ def test_key_violations_are_found(spark):
     ]
 
 
+def test_a_repeated_order_is_refused(spark, folder, tmp_path):
+    for table, df in Shop(spark, folder).catalog.items():
+        if table == "orders":
+            df = df.union(df.limit(1))
+        df.write.parquet(f"{tmp_path}/{FILES[table]}.parquet")
+    with pytest.raises(ValueError, match="orders \\(1\\)"):
+        load_tables(spark, str(tmp_path), ".parquet")
+    assert set(load_tables(spark, str(tmp_path), ".parquet", check_keys=False)) == set(FILES)
+
+
 @pytest.mark.parametrize("fmt", ["csv", "json"])
 def test_export_round_trip(spark, tmp_path, fmt):
     table = spark.createDataFrame(
