@@ -1,14 +1,19 @@
 """What the plans must look like at scale."""
 
 import re
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marketlens.functions import ranks
 from marketlens.functions.tables import left_join_many
-from marketlens.operators import periods
+from marketlens.operators import customers, operations, periods, products
+from marketlens.plans import registry
 from marketlens.plans.registry import queries
 from marketlens.plans.shop import PERIOD, Shop
+from marketlens.sources import scratch
 
 LAZY = [n for n in queries() if not n.startswith(("q01", "q60"))]
 
@@ -74,14 +79,79 @@ def test_top_k_does_not_sort_everything(spark, folder, name):
     assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
 
 
+#: What may be gathered in one task: aggregates without groups, and groups of which there are few by nature.
+FEW = {
+    "year_month", "month", "weekday", "customer_state", "customer_city", "segment", "payment_type", "order_status", "part",
+    "review_score", "sentiment", "category", "product_category_name_english", "bin", "table", "quadrant", "metric", "stage",
+}
+
+
+@pytest.fixture
+def frames(monkeypatch):
+    """Frames as they are before they are stored, which cuts their plans."""
+    seen = []
+
+    def recording(df, *args, **kwargs):
+        seen.append(df)
+        return scratch.materialize(df, *args, **kwargs)
+
+    for module in (ranks, operations):
+        monkeypatch.setattr(module, "materialize", recording)
+    monkeypatch.setattr(registry, "scratch", SimpleNamespace(materialize=recording, new_path=scratch.new_path))
+    return seen
+
+
+def gathered(plan):
+    """Exchanges into one task with neither an ungrouped aggregate nor few groups below."""
+    lines = plan.splitlines()
+    bad = []
+    for line, below in zip(lines, lines[1:]):
+        if "Exchange SinglePartition" in line:
+            keys = re.search(r"Aggregate\(keys?=\[(.*?)\], functions", below)
+            names = set(re.findall(r"(\w+)#\d+", keys[1])) if keys else None
+            if names is None or not names <= FEW:
+                bad.append(below)
+        if re.search(r"Window|rangepartitioning", line) and re.search(r"Window \[.*\], \[\]", line):
+            bad.append(line)
+    return bad
+
+
 @pytest.mark.parametrize("name", LAZY)
-def test_no_python_no_cross_join_no_gathered_table(spark, folder, name):
+def test_no_python_no_cross_join_no_gathered_table(spark, folder, name, frames):
     """What is gathered in one task was aggregated before: groups, not rows."""
-    plan = queries()[name](spark, folder)._jdf.queryExecution().executedPlan().treeString()
-    assert not re.search(
-        r"BatchEvalPython|ArrowEvalPython|MapInPandas|CartesianProduct|NestedLoop", plan
-    )
-    lines = plan.splitlines()
-    for gathered, below in zip(lines, lines[1:]):
-        if "Exchange SinglePartition" in gathered:
-            assert "Aggregate" in below, below
+    for df in [queries()[name](spark, folder), *frames]:
+        plan = df._jdf.queryExecution().executedPlan().treeString()
+        assert not re.search(
+            r"BatchEvalPython|ArrowEvalPython|MapInPandas|CartesianProduct|NestedLoop", plan
+        )
+        assert not gathered(plan)
+
+
+def test_a_window_over_all_customers_is_noticed(spark, folder):
+    everyone = W.partitionBy().orderBy("customer_id")
+    df = Shop(spark, folder).customers.groupBy("customer_id").count().withColumn("n", F.row_number().over(everyone))
+    assert gathered(df._jdf.queryExecution().executedPlan().treeString())
+
+
+def scans(df, column):
+    plan = executed(df)
+    final = plan.split("+- == Initial Plan ==")[0]
+    return len(re.findall(rf"Scan parquet [^\n]*{column}", final)), len(re.findall(r"Exchange hashpartitioning\(order_id", final))
+
+
+def test_items_and_payments_are_shuffled_once(spark, folder, shuffled_joins):
+    shop = Shop(spark, folder)
+    orders = periods.filter_period(shop.orders, *PERIOD)
+    rated = products.product_rating_sales(shop.items, shop.products, shop.reviews, orders)
+    assert scans(rated, "l_orderkey")[0] == 1
+    sellers = operations.seller_performance(operations.delivered_orders(orders), shop.items)
+    assert scans(sellers, "l_orderkey") == (1, 2)  # items and orders, each once
+    plain = shop.items.selectExpr("order_id", "CAST(product_id AS string) AS payment_type")
+    assert scans(customers.payment_trend(orders, plain), "l_orderkey") == (1, 2)
+
+
+def test_delivery_times_are_counted_once(spark, folder, frames):
+    shop = Shop(spark, folder)
+    found = operations.delivery_time_distribution(operations.delivered_orders(shop.orders))
+    assert "o_orderdate" not in executed(found)
+    assert len(frames) == 1 and scans(frames[0], "o_orderdate")[0] == 1
