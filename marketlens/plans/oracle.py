@@ -96,6 +96,7 @@ VIEWS = {
                 CAST(1 + len(list_filter(m, lambda e: e < monetary)) AS int) AS M_score
             FROM ranked, edges)
         SELECT *, concat(R_score, F_score, M_score) AS RFM_Score FROM scored""",
+    # Segment of each score code.
     "v_segments": """
         SELECT *, CASE
             WHEN RFM_Score IN ('555','554','544','545','454','455','445') THEN 'Champions'
@@ -280,8 +281,6 @@ def _key_check(table: str, source: str, key: str) -> str:
             GROUP BY {key} HAVING count(*) > 1)) AS repeated_keys"""
 
 
-EVENTS = "event_id ts user_id event_type value props"
-
 QUERIES = {
     "q01_load_tables": " UNION ALL ".join((
         _loaded("orders", "v_orders", "order_id customer_id order_status "
@@ -300,8 +299,8 @@ QUERIES = {
         _loaded("sellers", "supplier", "s_suppkey s_name s_nationkey s_acctbal"),
         _loaded("geolocation", "v_geolocation", "geolocation_city geolocation_state "
                 "geolocation_lat geolocation_lng"),
-        _loaded("leads_qualified", "(SELECT * FROM events WHERE event_type = 'signup')", EVENTS),
-        _loaded("leads_closed", "(SELECT * FROM events WHERE event_type = 'purchase')", EVENTS),
+        _loaded("leads_qualified", "events", "event_id ts user_id event_type value props"),
+        _loaded("leads_closed", "labels", "doc_id quality toxic"),
     )),
     "q01_key_violations": " UNION ALL ".join((
         _key_check("orders", "v_orders", "order_id"),

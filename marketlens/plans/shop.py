@@ -11,7 +11,6 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 PERIOD = ("1998-01-01", "1998-12-31")
 
 #: The given prices have two decimals.
@@ -163,8 +162,8 @@ class Shop:
             "customers": self.customers,
             "sellers": self.table("supplier"),
             "geolocation": self.geolocation,
-            "leads_qualified": self.table("events").where("event_type = 'signup'"),
-            "leads_closed": self.table("events").where("event_type = 'purchase'"),
+            "leads_qualified": self.table("events"),
+            "leads_closed": self.table("labels"),
         }
 
     def _with_nation(self) -> DataFrame:
