@@ -41,7 +41,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current = stored(edges.filter("a != b").select("a", "b").distinct(), "edges")
     mark = _fingerprint(current)
     while True:
-        current = stored(_small_star(_large_star(current).filter("a != b").distinct()).distinct(), "stars")
+        current = stored(_small_star(_large_star(current).filter("a != b")).distinct(), "stars")
         after = _fingerprint(current)
         if after == mark:
             break
