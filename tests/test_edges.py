@@ -404,3 +404,9 @@ def test_hot_order_in_ratings_and_sellers(spark):
     delivered = orders.selectExpr("order_id", "CASE WHEN order_id = '7' THEN 4 ELSE 1 END AS delivery_time")
     sellers = operations.seller_performance(delivered, items, min_orders=1).collect()
     assert len(sellers) == 4 and sum(r.order_volume for r in sellers) == 2000 + 4 - 1
+
+
+def test_newest_reviews_come_first(spark):
+    rows = [("a", dt.datetime(2018, 1, 2)), ("b", None), ("c", dt.datetime(2018, 3, 1)), ("d", dt.datetime(2018, 1, 2))]
+    table = spark.createDataFrame(rows, "review_id string, review_creation_date timestamp_ntz")
+    assert [r.review_id for r in reviews.sort_reviews(table).collect()] == ["c", "a", "d", "b"]
