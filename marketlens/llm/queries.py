@@ -22,7 +22,7 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    found = lm_scoring.score_documents(docs.select("doc_id", "text"), lm_scoring.train(docs))
+    found = lm_scoring.score_documents(docs.select("doc_id", "text"))
     return found.select(F.col("document.doc_id").alias("doc_id"), "n_tokens", "log_probability", "mean_log_probability")
 
 
