@@ -103,7 +103,10 @@ def parse(html: str) -> Node:
                 if tag in hidden_inline:
                     while hidden_inline.pop() != tag:
                         pass
-                continue
+                    continue
+                if all(name != tag for name, _ in open_):
+                    continue
+                hidden_inline.clear()  # the end of a block ends what was left open in it
             if tag in INLINE or tag in VOID:
                 if tag == "br":
                     text.append(" ")
@@ -120,6 +123,8 @@ def parse(html: str) -> Node:
                 found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+>?", re.IGNORECASE).search(html, at)
                 at = found.end() if found else end
             continue
+        if hidden_inline and tag not in P_STAYS and open_[-1][0] == "p":
+            hidden_inline.clear()
         if hidden_inline:
             if tag not in VOID and not closed:
                 hidden_inline.append(tag)

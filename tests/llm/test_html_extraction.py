@@ -64,6 +64,7 @@ def test_query(spark, folder):
         ("<div class='cookie-notice'>c</div><div id=sidebar>s</div><form>f</form><div class='ad'>x</div><p>a", "a"),
         ('<p title="a>b">a</p><p class="x>b</p><p>c</p>', "a b c"),
         ("<p>a <span class='share'>s<b>t</b></span> b", "a b"),
+        ("<p>a <span class='ad'>x</p><p>b <span class='ad'>y<p>c<div><i hidden>z</div>d", "a b c d"),
         ("<table><tr><td>1<td>2<tr><td>3</table>1 < 2 <p", "1 2 3 1 < 2"),
         ("<p>a</p><script>never closed <p>b</p>", "a"),
         ("<DIV hidden>h</DIV><P>A\n\t B</P>", "A B"),
