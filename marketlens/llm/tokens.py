@@ -28,7 +28,7 @@ PIECES = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^ \t\n\r{LETTERS}0-9]+"
     r"|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+"
 )
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 
 class Encoder:

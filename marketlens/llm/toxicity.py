@@ -41,7 +41,7 @@ ROUNDS = 300
 THRESHOLD = 0.3
 FOLDS = 4
 HELD_OUT = 2
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5)
 
