@@ -35,6 +35,7 @@ LEFT_OUT_WORDS = frozenset(
     " newsletter subscribe signup share sharing social related recommended recommendations comment comments respond disqus"
     " discussion footer pagination pager widget toolbar login skip".split()
 )
+FRAMES = frozenset("html body main article".split())  # class and id words say nothing against these
 PAGE_HEAD_WORDS = frozenset("header masthead topbar".split())  # left out unless inside an article
 
 
@@ -58,19 +59,26 @@ def _left_out(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
         return True
     if not attributes:
         return False
-    words = set(re.split(r"[^a-z0-9]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
     return (
-        not LEFT_OUT_WORDS.isdisjoint(words)
-        or (not in_article and not PAGE_HEAD_WORDS.isdisjoint(words))
-        or attributes.get("role", "").lower() in LEFT_OUT_ROLES
+        attributes.get("role", "").lower() in LEFT_OUT_ROLES
         or "hidden" in attributes
         or attributes.get("aria-hidden", "").lower() == "true"
         or "display:none" in attributes.get("style", "").replace(" ", "").lower()
     )
 
 
-def parse(html: str) -> Node:
-    """The tree of block elements; the text between them, with inline elements, are leaves '#text'."""
+def _named_out(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+    """Whether class or id say that an element is no content."""
+    if not attributes or tag in FRAMES:
+        return False
+    words = set(re.split(r"[^a-z0-9]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
+    return not LEFT_OUT_WORDS.isdisjoint(words) or (not in_article and not PAGE_HEAD_WORDS.isdisjoint(words))
+
+
+def parse(html: str, names: bool = True) -> Node:
+    """The tree of block elements; the text between them, with inline elements, are leaves '#text'.
+
+    Without ``names``, classes and ids leave nothing out."""
     root = Node("#root", False, False)
     open_: list[tuple[str, Node]] = [("#root", root)]
     text: list[str] = []
@@ -136,7 +144,7 @@ def parse(html: str) -> Node:
         attributes = _attributes(more) if more.strip(" /") else {}
         parent = open_[-1][1]
         if tag in INLINE:
-            if attributes and not closed and _left_out(tag, attributes, parent.article):
+            if attributes and not closed and (_left_out(tag, attributes, parent.article) or (names and _named_out(tag, attributes, parent.article))):
                 hidden_inline.append(tag)
             continue
         flush()
@@ -150,7 +158,7 @@ def parse(html: str) -> Node:
                 if open_[k][0] in BARRIERS and name != "head":
                     break
         parent = open_[-1][1]
-        out = parent.out or _left_out(tag, attributes, parent.article)
+        out = parent.out or _left_out(tag, attributes, parent.article) or (names and _named_out(tag, attributes, parent.article))
         article = not out and (parent.article or tag == "article" or attributes.get("role", "").lower() == "article")
         node = Node(f"{tag}.{attributes.get('class', '')}" if attributes else tag, out, article)
         parent.children.append(node)

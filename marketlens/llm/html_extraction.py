@@ -116,6 +116,11 @@ def extracted(pages: DataFrame, layouts: DataFrame) -> DataFrame:
             dom.align(root, _wrapper(wrapper))
             template = set(zip(slots, hashes))
         main = dom.main_blocks(root)
+        if not main:  # all was left out: then not by class or id
+            root = dom.parse(html, names=False)
+            if wrapper is not None:
+                dom.align(root, _wrapper(wrapper))
+            main = dom.main_blocks(root)
         return [" ".join(n.text) for n in main if not template or (n.slot, _text_hash(n.text)) not in template]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -148,3 +148,17 @@ def test_constant_blocks_are_template(spark, monkeypatch, limit):
 
 def test_empty_table(spark):
     assert html_extraction.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<body class='has-sidebar'><p>a</p>", "<html class='no-banner'><p>a</p>", "<main id='login-main'><p>a</p></main>", "<article class='post social'><p>a</p></article>"],
+)
+def test_class_words_do_not_take_whole_pages(html):
+    assert text_of(html) == "a"
+
+
+def test_wrapper_named_after_what_it_holds(spark):
+    pages = ["<div class='with-menu'><nav>m</nav><article><p>a</p></article></div>", "<div id='content' class='no-sidebar'><p>b</p></div>"]
+    df = spark.createDataFrame([(i, None, h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    assert [r.text for r in html_extraction.main_text(df).orderBy("page_id").collect()] == ["a", "b"]
