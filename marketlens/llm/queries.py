@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontamination, exact_dedup, html_extraction, jaccard_join, line_dedup, lm_scoring, packing, pii, token_output, toxicity
+from marketlens.llm import centroid_clustering, decontamination, exact_dedup, html_extraction, jaccard_join, line_dedup, lm_scoring, packing, pii, token_output, toxicity
 from marketlens.llm.common import table
 from marketlens.sources import scratch
 
@@ -95,6 +95,43 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    found = centroid_clustering.with_inertia(*centroid_clustering.centroid_clusters(table(spark, folder, "embeddings")))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def clustering_sql(rounds: int = centroid_clustering.ROUNDS) -> str:
+    """Lloyd's rounds on plain components, written out one after the other."""
+    distance = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    steps = ["""WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS HUGEINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS k, x
+  FROM (SELECT sha256('3:' || vec_id) AS h, x FROM v ORDER BY h LIMIT 8)
+)"""]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (
+  SELECT vec_id, x, d.k AS k, d.d AS d
+  FROM (SELECT v.vec_id, v.x, min({{'d': {distance}, 'k': c.k}}) AS d FROM v, c{n} c GROUP BY v.vec_id, v.x)
+)""")
+        if n < rounds:
+            steps.append(f"""m{n} AS (
+  SELECT k, p, CAST(floor_div(sum(e), count(*)) AS HUGEINT) AS e
+  FROM (SELECT k, unnest(x) AS e, unnest(range(64)) AS p FROM a{n}) GROUP BY k, p
+), c{n + 1} AS MATERIALIZED (
+  SELECT k, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN (SELECT k, list(e ORDER BY p) AS x FROM m{n} GROUP BY k) m USING (k)
+)""")
+    last = f"""
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+  CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c USING (k)
+"""
+    floor_div = "((sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*))"
+    return ", ".join(steps).replace("floor_div(sum(e), count(*))", floor_div) + last
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -106,6 +143,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_html_extraction": op9_html_extraction,
     "op10_pii": op10_pii,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
 
 SQL = {
@@ -172,6 +210,7 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
   coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """,
+    "op12_centroid_clustering": clustering_sql(),
 }
 
 
