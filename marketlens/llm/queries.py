@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import centroid_clustering, decontamination, exact_dedup, html_extraction, jaccard_join, line_dedup, lm_scoring, packing, pii, token_output, toxicity
+from marketlens.llm import centroid_clustering, conversation_repair, decontamination, exact_dedup, html_extraction, jaccard_join, line_dedup, lm_scoring, packing, pii, token_output, toxicity
 from marketlens.llm.common import table
 from marketlens.sources import scratch
 
@@ -95,6 +95,10 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair.audit_conversations(table(spark, folder, "conversations"))
+
+
 def op12_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
     found = centroid_clustering.with_inertia(*centroid_clustering.centroid_clusters(table(spark, folder, "embeddings")))
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
@@ -132,6 +136,80 @@ FROM a{rounds} JOIN c{rounds} c USING (k)
     return ", ".join(steps).replace("floor_div(sum(e), count(*))", floor_div) + last
 
 
+#: The checksum bit by bit, then the cheapest edits row by row: a cost, an audit and the lines by state of the roles.
+REPAIR_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+      lambda c: CAST(ord(c) AS BIGINT)) AS bytes
+  FROM conversations
+), hit AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b:
+    list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 20 AS hit
+  FROM keyed
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+    CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hit, unnest(CASE hit WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copies(copy)
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS initial,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM damaged
+), faults AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial, 'su') NOT IN ('su', 'ua', 'au') AS illegal
+  FROM r
+), dp AS (
+  SELECT conv_id, 0::BIGINT AS i, {'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]} AS s0,
+    CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR[])) AS s1,
+    {'c': 5::BIGINT, 'a': 'I', 't': ['user:']} AS s2, {'c': 10::BIGINT, 'a': 'II', 't': ['user:', 'assistant:']} AS s3
+  FROM (SELECT DISTINCT conv_id FROM faults)
+  UNION ALL
+  SELECT conv_id, i, n0, n1, m2,
+    list_min([n3, {'c': m2.c + 5, 'a': m2.a || 'I', 't': list_append(m2.t, 'assistant:')}])
+  FROM (
+    SELECT *, list_min([n2, {'c': n0.c + 5, 'a': n0.a || 'I', 't': list_append(n0.t, 'user:')},
+      CASE WHEN n1 IS NOT NULL THEN {'c': n1.c + 5, 'a': n1.a || 'I', 't': list_append(n1.t, 'user:')} END,
+      CASE WHEN n3 IS NOT NULL THEN {'c': n3.c + 5, 'a': n3.a || 'I', 't': list_append(n3.t, 'user:')} END]) AS m2
+    FROM (
+      SELECT conv_id, i, d0 AS n0,
+        list_min([d1, CASE WHEN kept AND initial = 's' THEN {'c': s0.c + e, 'a': s0.a || 'K', 't': list_append(s0.t, own)} END]) AS n1,
+        list_min([d2, CASE WHEN kept THEN {'c': s0.c + cu, 'a': s0.a || lu, 't': list_append(s0.t, tu)} END,
+          CASE WHEN kept AND s1 IS NOT NULL THEN {'c': s1.c + cu, 'a': s1.a || lu, 't': list_append(s1.t, tu)} END,
+          CASE WHEN kept AND s3 IS NOT NULL THEN {'c': s3.c + cu, 'a': s3.a || lu, 't': list_append(s3.t, tu)} END]) AS n2,
+        list_min([d3, CASE WHEN kept AND s2 IS NOT NULL THEN {'c': s2.c + ca, 'a': s2.a || la, 't': list_append(s2.t, ta)} END]) AS n3
+      FROM (
+        SELECT dp.conv_id, faults.i, initial, s0, s1, s2, s3, fault NOT IN ('blank', 'duplicate') AS kept, role || ':' || text AS own,
+          CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS e,
+          e + CASE WHEN initial = 'u' THEN 0 ELSE 1 END AS cu, e + CASE WHEN initial = 'a' THEN 0 ELSE 1 END AS ca,
+          CASE WHEN initial = 'u' THEN 'K' ELSE 'R' END AS lu, CASE WHEN initial = 'a' THEN 'K' ELSE 'R' END AS la,
+          CASE WHEN initial = 'u' THEN own ELSE 'user:' || text END AS tu,
+          CASE WHEN initial = 'a' THEN own ELSE 'assistant:' || text END AS ta,
+          {'c': s0.c + 2, 'a': s0.a || 'D', 't': s0.t} AS d0,
+          CASE WHEN s1 IS NOT NULL THEN {'c': s1.c + 2, 'a': s1.a || 'D', 't': s1.t} END AS d1,
+          CASE WHEN s2 IS NOT NULL THEN {'c': s2.c + 2, 'a': s2.a || 'D', 't': s2.t} END AS d2,
+          CASE WHEN s3 IS NOT NULL THEN {'c': s3.c + 2, 'a': s3.a || 'D', 't': s3.t} END AS d3
+        FROM dp JOIN faults ON dp.conv_id IS NOT DISTINCT FROM faults.conv_id AND faults.i = dp.i + 1
+      )
+    )
+  )
+), best AS (
+  SELECT conv_id, arg_max(list_min([s0, s3]), i) AS b FROM dp GROUP BY conv_id
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM faults GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit,
+  sha256(coalesce(array_to_string(b.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+  LEFT JOIN counted ON o.conv_id IS NOT DISTINCT FROM counted.conv_id
+  LEFT JOIN best ON o.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -144,6 +222,7 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_pii": op10_pii,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 SQL = {
@@ -211,6 +290,7 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """,
     "op12_centroid_clustering": clustering_sql(),
+    "op13_conversation_repair": REPAIR_SQL,
 }
 
 
