@@ -35,6 +35,14 @@ def materialize(df: DataFrame, name: str = "table", partition_by: str | None = N
     return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes what was written to a path of ``new_path``, as soon as nothing reads it any more."""
+    if not path.startswith(f"{_own(spark)}/"):
+        raise ValueError(f"not written by this application: {path}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clean(spark: SparkSession) -> None:
     """Removes what this application has written. Tables that were materialized cannot be read after it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))

@@ -8,7 +8,7 @@ import pytest
 from marketlens.plans.shop import Shop
 from marketlens.sources.reader import key_violations, load_table, load_tables, typed
 from marketlens.sources.schemas import COLUMNS, FILES
-from marketlens.sources.scratch import clean, materialize, new_path, scratch_dir
+from marketlens.sources.scratch import clean, drop, materialize, new_path, scratch_dir
 from marketlens.sources.writer import read_reviews, write_reviews
 
 
@@ -136,3 +136,14 @@ def test_partitions_are_folders_and_go_with_the_clean_up(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(own)
     assert stored.count() == 100
+
+
+def test_scratch_tables_can_be_dropped_and_nothing_else(spark, tmp_path):
+    path = new_path(spark, "kept")
+    spark.range(3).write.parquet(path)
+    drop(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    with pytest.raises(ValueError, match="not written by this application"):
+        drop(spark, str(tmp_path))
+    assert tmp_path.exists()
