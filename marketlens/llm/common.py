@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.sources import scratch
 
 SPACES = r"[\x20\x09-\x0D]+"
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,7 +22,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     executors, and later reads fetch only the columns they need."""
     path = scratch.new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[found] = path
+    return found
+
+
+def freed(*tables: DataFrame) -> None:
+    """Deletes ``stored`` tables whose successors are written; they cannot be read after it."""
+    for df in tables:
+        scratch.drop(df.sparkSession, _PATHS.pop(df))
 
 
 def text_of(column: str | Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import stored
+from marketlens.llm.common import freed, stored
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current = stored(edges.filter("a != b").select("a", "b").distinct(), "edges")
     mark = _fingerprint(current)
     while True:
-        current = stored(_small_star(_large_star(current).filter("a != b")).distinct(), "stars")
+        old, current = current, stored(_small_star(_large_star(current).filter("a != b")).distinct(), "stars")
+        freed(old)
         after = _fingerprint(current)
         if after == mark:
             break
@@ -52,6 +53,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return found.unionByName(roots).unionByName(lone).groupBy("node").agg(F.min("component").alias("component"))
 
 
+def merged_components(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, component`` after further links ``a, b``, which join whole components: only these are worked through."""
+    if links.isEmpty():
+        return comps
+    by_comp = links
+    for end in ("a", "b"):
+        own = comps.select(F.col("node").alias(end), "component")
+        by_comp = by_comp.join(own, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    joined = stored(connected_components(by_comp), "joined").toDF("component", "joined")
+    old = comps.join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+    new = joined.join(comps.select(F.col("node").alias("component")), "component", "left_anti").toDF("node", "component")
+    return stored(old.unionByName(new), "components")
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     low = F.xxhash64("a", "b") % (1 << 31)
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(low), F.sum(F.xxhash64("b", "a") % (1 << 31))).first())

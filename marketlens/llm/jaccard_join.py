@@ -116,7 +116,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, words: int, sample: int) -
     some = docs.select(text_of(text_col).alias("text")).filter(F.rand(7) < min(1.0, sample / total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in _texts(batches):
+        for texts in text_batches(batches):
             sets = shingles.shingle_sets([t for t, in texts], words)
             yield pa.record_batch([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
 
@@ -125,14 +125,14 @@ def frequent_shingles(docs: DataFrame, text_col: str, words: int, sample: int) -
     return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+def text_batches(batches: Iterator[pa.RecordBatch], texts: int = BATCH_TEXTS, characters: int = BATCH_CHARACTERS) -> Iterator[list[tuple]]:
     """Rows, the text last, in lists of bounded length and text, so that arrays stay small whatever the batch."""
     held, size = [], 0
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             held.append(row)
             size += len(row[-1])
-            if len(held) >= BATCH_TEXTS or size >= BATCH_CHARACTERS:
+            if len(held) >= texts or size >= characters:
                 yield held
                 held, size = [], 0
     if held:
@@ -156,7 +156,7 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray
     return np.concatenate([hashes[~common], hashes[common]])[:size]
 
 
-def _node(hashes: np.ndarray) -> bytes:
+def node_of(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
@@ -167,9 +167,9 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for rows in _texts(batches):
+        for rows in text_batches(batches):
             sets = shingles.shingle_sets([t for _, t in rows], words)
-            nodes = [_node(s) for s in sets]
+            nodes = [node_of(s) for s in sets]
             prefixes, bits = [], []
             for node, found in zip(nodes, sets):
                 new = node not in seen
@@ -201,11 +201,11 @@ def arrays_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, wo
     id_type = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _texts(batches):
+        for rows in text_batches(batches):
             sets = shingles.shingle_sets([t for _, t in rows], words)
             yield pa.record_batch(
                 [
-                    pa.array([i for i, _ in rows], type=id_type), pa.array([_node(s) for s in sets], pa.binary()),
+                    pa.array([i for i, _ in rows], type=id_type), pa.array([node_of(s) for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
                 ],
                 ["id", "node", "n", "hashes"],

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import centroid_clustering, conversation_repair, decontamination, exact_dedup, html_extraction, jaccard_join, line_dedup, lm_scoring, packing, pii, token_output, toxicity
+from marketlens.llm import centroid_clustering, conversation_repair, decontamination, exact_dedup, html_extraction, jaccard_join, line_dedup, lm_scoring, minhash_dedup, packing, pii, token_output, toxicity
 from marketlens.llm.common import table
 from marketlens.sources import scratch
 
@@ -99,6 +99,10 @@ def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_repair.audit_conversations(table(spark, folder, "conversations"))
 
 
+def op11_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash_dedup.minhash_groups(table(spark, folder, "documents"))
+
+
 def op12_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
     found = centroid_clustering.with_inertia(*centroid_clustering.centroid_clusters(table(spark, folder, "embeddings")))
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
@@ -221,6 +225,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_html_extraction": op9_html_extraction,
     "op10_pii": op10_pii,
+    "op11_minhash_dedup": op11_minhash_dedup,
     "op12_centroid_clustering": op12_centroid_clustering,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -294,6 +299,10 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 }
 
 
+NEAR = SQL["op6_jaccard_join"].replace("100 * c >= 80", "100 * c >= 85")
+SQL["op11_minhash_dedup"] = f"SELECT *, doc_id = component_id AS kept FROM ({NEAR})"
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
