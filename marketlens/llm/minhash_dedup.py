@@ -38,14 +38,17 @@ from marketlens.llm import shingles
 from marketlens.llm.common import freed, in_buckets_of, stored, text_of
 from marketlens.llm.components import connected_components, merged_components
 from marketlens.llm.jaccard_join import BANDS as SIZE_BANDS
-from marketlens.llm.jaccard_join import BATCH_CHARACTERS, BATCH_TEXTS, arrays_of, links, node_of, overlap, size_band, text_batches, tiles, verified
+from marketlens.llm.jaccard_join import arrays_of, links, node_of, overlap, size_band, text_batches, tiles, verified
 
 PERCENT = 85
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 AGREE = BINS // 2
-BLOCK = 256
+#: Bounds of what a tile holds: signatures, which are short, and full sets, which are not.
+BLOCK = 2048
+SET_BLOCK = 256
 PAIRS_PER_ROW = 4
+BATCH_TEXTS, BATCH_CHARACTERS = 250, 1 << 19
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64((1 << 64) - 1)
 
@@ -142,16 +145,24 @@ def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 TILE = ["h", "low", "i", "j"]
 
 
-def per_tile(rows: DataFrame, extra: DataFrame, judge, schema: str) -> DataFrame:
+def smaller_tiles(rows: DataFrame, parts: int) -> DataFrame:
+    """Deals the rows of each tile into tiles of two of ``parts`` parts, ``p`` and ``q``."""
+    own = F.pmod(F.xxhash64("nid", F.lit(1)), F.lit(parts)).cast("int")
+    others = F.sequence(F.lit(0), F.lit(parts - 1))
+    places = F.transform(others, lambda k: F.struct(F.least(own, k).alias("p"), F.greatest(own, k).alias("q")))
+    return rows.withColumn("place", F.explode(places)).select(*rows.columns, "place.p", "place.q")
+
+
+def per_tile(rows: DataFrame, extra: DataFrame, judge, schema: str, tile: list[str] = TILE) -> DataFrame:
     """Runs ``judge`` over the rows of each tile, which are at most two blocks."""
-    dealt = rows.join(extra, "nid").repartition(*TILE).sortWithinPartitions(*TILE, "n", "nid")
+    dealt = rows.join(extra, "nid").repartition(*tile).sortWithinPartitions(*tile, "n", "nid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
             for low in range(0, batch.num_rows, BATCH_TEXTS):
                 for row in batch.slice(low, BATCH_TEXTS).to_pylist():
-                    own = tuple(row[c] for c in TILE)
+                    own = tuple(row[c] for c in tile)
                     if own != key:
                         yield from judge(held)
                         key, held = own, []
@@ -245,6 +256,7 @@ def minhash_groups(
     words: int = shingles.WORDS,
     percent: int = PERCENT,
     block: int = BLOCK,
+    set_block: int = SET_BLOCK,
 ) -> DataFrame:
     """One row per document: ``<id_col>, n_shingles, component_id, kept``."""
     sets = stored(signed(docs, id_col, text_col, words), "signatures")
@@ -281,7 +293,9 @@ def minhash_groups(
     if not crowded.isEmpty():
         held = nodes.join(crowded.select("nid").distinct(), "nid")
         arrays = _arrays(docs, id_col, text_col, held, words).dropDuplicates(["nid"]).join(nodes.select("nid", "sig"), "nid")
-        more = more.unionByName(stored(per_tile(crowded, stored(arrays, "arrays"), _joins(percent), "a bigint, b bigint"), "tile-links"))
+        small = smaller_tiles(crowded, max(block // set_block, 1))
+        joins = per_tile(small, stored(arrays, "arrays"), _joins(percent), "a bigint, b bigint", [*TILE, "p", "q"])
+        more = more.unionByName(stored(joins, "tile-links"))
     comps = merged_components(comps, more)
 
     grouped = nodes.select("node", "nid", "least_id").join(comps.withColumnRenamed("node", "nid"), "nid", "left")

@@ -34,7 +34,7 @@ def found(df, **options):
 def test_like_brute_force(frame, monkeypatch, seed, block, per_row):
     monkeypatch.setattr(minhash_dedup, "PAIRS_PER_ROW", per_row)
     docs = corpus(seed)
-    assert found(frame(docs, "doc_id bigint, text string"), block=block) == brute(docs)
+    assert found(frame(docs, "doc_id bigint, text string"), block=block, set_block=2) == brute(docs)
 
 
 @pytest.mark.parametrize("per_row", [4, 0])
@@ -47,7 +47,7 @@ def test_links_that_no_star_finds(frame, monkeypatch, per_row):
     for k in range(40):
         own = [f"o{k}-{i}" for i in range(25)]
         docs += [(2 * k + 1, " ".join(common + own)), (2 * k + 2, " ".join(common + own + [f"x{rng.random()}"]))]
-    assert found(frame(docs, "doc_id bigint, text string"), block=8) == brute(docs)
+    assert found(frame(docs, "doc_id bigint, text string"), block=8, set_block=4) == brute(docs)
 
 
 def test_large_group_long_text_and_clashing_columns(frame):
