@@ -8,13 +8,15 @@ Two documents link if their sets of 5-word shingles have a Jaccard similarity of
 2. Bands of ``ROWS`` bins are buckets. At similarity 0.85 a band agrees with probability 0.52, so a pair shares none of 32
    bands with probability 6e-11.
 3. Each bucket proposes a star: its members with its smallest node, one pair a member. Pairs of which
-   half of the bins agree (0.85 of them are expected, so this is nine standard deviations off) are confirmed on the full sets.
-4. A star finds no links among members that are unlike its centre. Buckets that still join nodes of different components
+   three fifths of the bins agree (0.85 of them are expected, so a link falls below with probability 2e-11) are confirmed on
+   the full sets. ``STAR_ROUNDS`` more stars follow in buckets that still join nodes of different components, each around
+   another node of the bucket, for the nodes of other components than its own.
+4. A star finds no links among members that are unlike its centre. Buckets that are open after the stars
    are therefore worked through whole: dealt into tiles of bounded size, in which all pairs of different
    components are compared by signature, and those that may link are confirmed on the full sets. Of buckets with the same members
    one is enough, and a pair is proposed by the smallest bucket it shares.
 
-Stars make at most 32 pairs a node; tiles give out at most ``PAIRS_PER_ROW`` pairs a row, and beyond that their rows, whose
+A star round makes at most 32 pairs a node; tiles give out at most ``PAIRS_PER_ROW`` pairs a row, and beyond that their rows, whose
 sets are then compared within the tile, where joins of components come out. So no step gives out the square of a group; the
 comparisons in tiles are quadratic in a group that shares a band without being linked, by nature, and are dealt over tasks.
 
@@ -43,7 +45,8 @@ from marketlens.llm.jaccard_join import arrays_of, links, node_of, overlap, size
 PERCENT = 85
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
-AGREE = BINS // 2
+AGREE = 3 * BINS // 5
+STAR_ROUNDS = 2
 #: Bounds of what a tile holds: signatures, which are short, and full sets, which are not.
 BLOCK = 2048
 SET_BLOCK = 256
@@ -128,7 +131,7 @@ def _sigs(raw: list[bytes]) -> np.ndarray:
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sizes allow a link and of which half of the bins agree."""
+    """The pairs ``a, b`` whose sizes allow a link and of which enough bins agree."""
     side = {x: nodes.select(F.col("nid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"}
     both = pairs.join(side["a"], "a").join(side["b"], "b")
     both = both.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
@@ -235,8 +238,8 @@ def _joins(percent: int):
 
 
 def _open_buckets(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """``h, nid, comp, shared`` of buckets that join different components; of buckets with equal members one."""
-    placed = members.filter("size > 2").join(comps.withColumnRenamed("node", "nid"), "nid", "left")
+    """``h, nid, comp`` of buckets that join different components; of buckets with equal members one."""
+    placed = members.join(comps.withColumnRenamed("node", "nid"), "nid", "left")
     placed = stored(placed.select("h", "nid", F.coalesce("component", "nid").alias("comp")), "bucket-members")
     low = F.xxhash64("nid") % (1 << 31)
     mixed = placed.groupBy("h").agg(
@@ -280,8 +283,14 @@ def minhash_groups(
     star = members.filter(F.col("nid") != F.col("leader")).select(F.col("leader").alias("a"), F.col("nid").alias("b")).distinct()
     comps = stored(connected_components(confirmed(stored(alike(star, nodes, percent), "star"))), "components")
 
-    rest = _open_buckets(members, comps)
+    rest = _open_buckets(members.filter("size > 2").select("h", "nid"), comps)
     freed(members, buckets)
+    for turn in range(STAR_ROUNDS):
+        centre = rest.groupBy("h").agg(F.min(F.struct(F.xxhash64("h", "nid", F.lit(turn)), "nid", "comp")).alias("centre"))
+        apart = rest.join(centre, "h").filter("comp != centre.comp").select(F.least("nid", "centre.nid").alias("a"), F.greatest("nid", "centre.nid").alias("b"))
+        comps = merged_components(comps, confirmed(stored(alike(apart.distinct(), nodes, percent), "star")))
+        old, rest = rest, _open_buckets(rest.select("h", "nid"), comps)
+        freed(old)
     shared = rest.groupBy("nid").agg(F.collect_list("h").alias("shared"))  # at most one a band
     found = per_tile(
         tiles(rest, block), nodes.select("nid", "n", "sig").join(shared, "nid"), _suspects(percent),
