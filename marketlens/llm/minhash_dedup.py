@@ -40,7 +40,7 @@ from marketlens.llm import shingles
 from marketlens.llm.common import freed, in_buckets_of, stored, text_of
 from marketlens.llm.components import connected_components, merged_components
 from marketlens.llm.jaccard_join import BANDS as SIZE_BANDS
-from marketlens.llm.jaccard_join import arrays_of, links, node_of, overlap, size_band, text_batches, tiles, verified
+from marketlens.llm.jaccard_join import arrays_of, links, node_of, size_band, text_batches, tiles, verified
 
 PERCENT = 85
 BANDS, ROWS = 32, 4
@@ -49,7 +49,7 @@ AGREE = 3 * BINS // 5
 STAR_ROUNDS = 2
 #: Bounds of what a tile holds: signatures, which are short, and full sets, which are not.
 BLOCK = 2048
-SET_BLOCK = 256
+SET_BYTES = 32 << 20
 PAIRS_PER_ROW = 4
 BATCH_TEXTS, BATCH_CHARACTERS = 250, 1 << 19
 _SEED = np.uint64(0x9E3779B97F4A7C15)
@@ -148,12 +148,13 @@ def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 TILE = ["h", "low", "i", "j"]
 
 
-def smaller_tiles(rows: DataFrame, parts: int) -> DataFrame:
-    """Deals the rows of each tile into tiles of two of ``parts`` parts, ``p`` and ``q``."""
-    own = F.pmod(F.xxhash64("nid", F.lit(1)), F.lit(parts)).cast("int")
-    others = F.sequence(F.lit(0), F.lit(parts - 1))
+def smaller_tiles(rows: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
+    """Deals the rows of a tile whose sets take more than ``limit`` bytes into tiles of two parts each, ``p`` and ``q``."""
+    sizes = rows.join(nodes.select("nid", "n"), "nid").groupBy(*TILE).agg(F.ceil(16 * F.sum("n") / limit).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("nid", F.lit(1)), F.col("parts")).cast("int")
+    others = F.sequence(F.lit(0), F.col("parts") - 1)
     places = F.transform(others, lambda k: F.struct(F.least(own, k).alias("p"), F.greatest(own, k).alias("q")))
-    return rows.withColumn("place", F.explode(places)).select(*rows.columns, "place.p", "place.q")
+    return rows.join(sizes, TILE).withColumn("place", F.explode(places)).select(*rows.columns, "place.p", "place.q")
 
 
 def per_tile(rows: DataFrame, extra: DataFrame, judge, schema: str, tile: list[str] = TILE) -> DataFrame:
@@ -195,14 +196,15 @@ def _suspects(percent: int):
         if len(rows) < 2:
             return
         h, shared = rows[0]["h"], [frozenset(r["shared"]) for r in rows]
-        pairs = ((int(a), b) for b, others in _candidates(rows, percent) for a in others)
-        pairs = [(a, b) for a, b in pairs if min(shared[a] & shared[b]) == h]
-        if not pairs:
+        found = list(_candidates(rows, percent))
+        many = sum(len(others) for _, others in found) > BANDS * PAIRS_PER_ROW * len(rows)
+        pairs = [] if many else [(a, b) for b, others in found for a in others.tolist() if min(shared[a] & shared[b]) == h]
+        if not many and not pairs:
             return
-        if len(pairs) <= PAIRS_PER_ROW * len(rows):
+        if not many and len(pairs) <= PAIRS_PER_ROW * len(rows):
             left, right = [rows[a] for a, _ in pairs], [rows[b]["nid"] for _, b in pairs]
         else:
-            left = [rows[k] for k in sorted({k for p in pairs for k in p})]
+            left = [rows[k] for k in sorted({b for b, _ in found}.union(*(others.tolist() for _, others in found)))]
             right = [None] * len(left)
         names = [*TILE, "nid", "comp"]
         yield pa.record_batch([*(pa.array([r[c] for r in left], pa.int64()) for c in names), pa.array(right, pa.int64())], [*names, "other"])
@@ -210,27 +212,34 @@ def _suspects(percent: int):
     return judge
 
 
+def _overlaps(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """By set, the sizes of its intersections with all sets, from lists of the sets that hold each shingle."""
+    sizes = np.array([len(x) for x in sets])
+    _, place, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(place, kind="stable")]
+    starts, ends = np.cumsum(held) - held, np.cumsum(sizes)
+    for end, size in zip(ends, sizes):
+        own = place[end - size : end]
+        counts = held[own]
+        at = np.arange(counts.sum()) + np.repeat(starts[own] - (np.cumsum(counts) - counts), counts)
+        yield np.bincount(holders[at], minlength=len(sets))
+
+
 def _joins(percent: int):
     """Per tile the joins of components that full sets confirm, at most one a component."""
 
     def judge(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        if len(rows) < 2:
+        if len({r["comp"] for r in rows}) < 2:
             return
-        group = {r["comp"]: r["comp"] for r in rows}
-
-        def root(x: int) -> int:
-            while group[x] != x:
-                x = group[x] = group[group[x]]
-            return x
-
-        sets = [np.frombuffer(r["hashes"], dtype=np.uint64) for r in rows]
+        _, group = np.unique([r["comp"] for r in rows], return_inverse=True)
+        n = np.array([r["n"] for r in rows])
         made = []
-        for b, others in _candidates(rows, percent):
-            for a in others.tolist():
-                x, y = root(rows[a]["comp"]), root(rows[b]["comp"])
-                if x != y and links(len(sets[a]), len(sets[b]), overlap(sets[a], sets[b]), percent):
-                    made.append((rows[a]["nid"], rows[b]["nid"]))
-                    group[max(x, y)] = min(x, y)
+        for b, common in enumerate(_overlaps([np.frombuffer(r["hashes"], dtype=np.uint64) for r in rows])):
+            linked = np.flatnonzero(links(n, n[b], common, percent) & (group != group[b]))
+            while len(linked):
+                made.append((rows[linked[0]]["nid"], rows[b]["nid"]))
+                group[group == group[linked[0]]] = group[b]
+                linked = linked[group[linked] != group[b]]
         if made:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*made)], ["a", "b"])
 
@@ -259,7 +268,7 @@ def minhash_groups(
     words: int = shingles.WORDS,
     percent: int = PERCENT,
     block: int = BLOCK,
-    set_block: int = SET_BLOCK,
+    set_bytes: int = SET_BYTES,
 ) -> DataFrame:
     """One row per document: ``<id_col>, n_shingles, component_id, kept``."""
     sets = stored(signed(docs, id_col, text_col, words), "signatures")
@@ -302,7 +311,7 @@ def minhash_groups(
     if not crowded.isEmpty():
         held = nodes.join(crowded.select("nid").distinct(), "nid")
         arrays = _arrays(docs, id_col, text_col, held, words).dropDuplicates(["nid"]).join(nodes.select("nid", "sig"), "nid")
-        small = smaller_tiles(crowded, max(block // set_block, 1))
+        small = smaller_tiles(crowded, nodes, set_bytes)
         joins = per_tile(small, stored(arrays, "arrays"), _joins(percent), "a bigint, b bigint", [*TILE, "p", "q"])
         more = more.unionByName(stored(joins, "tile-links"))
     comps = merged_components(comps, more)
