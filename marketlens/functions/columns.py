@@ -39,6 +39,29 @@ def total(col: Column) -> Column:
     return F.coalesce(F.sum(col), F.lit(0)).cast("double")
 
 
+def weighted_total(df: DataFrame, name: str, weight: str) -> Column:
+    """Sum of a column times a whole-number weight, as a double with the exact sum behind it.
+
+    A product of decimals has more digits than the type holds and would lose its last ones silently. Here
+    the amounts become whole numbers of their smallest unit; what is then too large for 38 digits is an error.
+    """
+    kind, n = df.schema[name].dataType, F.col(weight).cast("decimal(20,0)")
+    if not isinstance(kind, T.DecimalType):
+        return F.sum(F.col(name) * F.col(weight)).cast("double")
+    whole, places = F.floor(name), kind.scale
+    if places == 0:
+        return F.sum(F.col(name) * n).cast("double")
+    unit = 10**places
+    part = (F.col(name) - whole).cast(f"decimal({places + 1},{places})")
+    units = (part * F.lit(unit).cast(f"decimal({places + 1},0)")).cast(f"decimal({places},0)")
+    low = F.sum(units.cast("decimal(18,0)") * n)
+    rest = low % F.lit(unit).cast("decimal(38,0)")
+    carried = ((low - rest) / F.lit(unit).cast("decimal(38,0)")).cast(f"decimal({37 - places},0)")
+    high = (F.sum(whole * n) + carried).cast(f"decimal(37,{places})")
+    fraction = rest.cast(f"decimal({places},0)") * F.lit(f"0.{'0' * (places - 1)}1").cast(f"decimal({places},{places})")
+    return (high + fraction.cast(f"decimal({2 * places},{places})")).cast("double")
+
+
 def mean(col: Column) -> Column:
     """Mean of the non-null values as a double, null for none.
 

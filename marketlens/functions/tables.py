@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketlens.functions.columns import growth_label, growth_pct, ratio
 
@@ -70,21 +71,49 @@ def histogram(df: DataFrame, col: str, bins: int, weight: str | None = None) ->
     )
 
 
-def left_join_many(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+#: Keys that a frequent-items sketch tracks, how many sketches are merged before the last merge, and the share
+#: of the rows that the sketches see.
+TRACKED = 1 << 14
+MERGES = 64
+SEEN = 1 / 8
+
+
+def hot_keys(df: DataFrame, key: str, partitions: int | None = None) -> list:
+    """Keys that may hold more rows than half a shuffle partition would get of evenly spread ones.
+
+    From one pass over the key column with mergeable sketches of bounded size, merged in two steps, over a random share of
+    the rows: what they find decides how rows are joined, never which. At most ``TRACKED`` / 4 keys come back.
+    """
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1 / (2 * partitions), 4 / TRACKED)
+    tracked = F.lit(TRACKED)
+    sketches = (
+        df.select(key)
+        .where(F.col(key).isNotNull() & (F.rand(11) < SEEN))
+        .groupBy((F.spark_partition_id() % MERGES).alias("merge"))
+        .agg(F.count("*").alias("n"), F.call_function("approx_top_k_accumulate", key, tracked).alias("sketch"))
+    )
+    # Grouped, so that tasks without rows add no empty sketch, which could not be merged.
+    found = sketches.groupBy(F.lit("all")).agg(F.sum("n").alias("n"), F.call_function("approx_top_k_combine", "sketch", tracked).alias("sketch"))
+    top = F.call_function("approx_top_k_estimate", "sketch", F.lit(TRACKED // 4))
+    hot = F.filter(top, lambda t: t["count"] > F.col("n") * share)
+    row = found.select(F.transform(hot, lambda t: t["item"]).alias("keys")).first()
+    return row["keys"] if row else []
+
+
+def left_join_many(left: DataFrame, right: DataFrame, key: str, counted: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """Left join on a key that may repeat on the right, however unevenly.
 
     Spark can split a skewed partition of an outer join on its outer side only, so a hot
-    key on the right would stay in one task. Written as the matches (an inner join, which
-    splits on both sides) plus the left rows without a match (an anti join against the
-    distinct right keys), no task has to hold a hot key. Both joins take the left rows with
-    a key, so they share one shuffle of them; rows without a key need no join at all.
+    key on the right would stay in one task. Hot keys are looked for first (``hot_keys``, a job over the key column of the right
+    side, or of ``counted`` if that has the same keys and is cheaper to read). All other keys take one
+    ordinary left join. A hot key has a match, so its rows are an inner join, which splits on both
+    sides. Rows without a key go the ordinary way, where they are on the side that can be split.
     """
-    has_key = F.col(key).isNotNull()
-    keyed = left.where(has_key)
-    extra = [
-        F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name != key
-    ]
-    matched = keyed.join(right, key)
-    alone = keyed.join(right.select(key).distinct(), key, "left_anti").select("*", *extra)
-    keyless = left.where(~has_key).select(key, *(c for c in left.columns if c != key), *extra)
-    return matched.unionByName(alone).unionByName(keyless)
+    hot = hot_keys(right if counted is None else counted, key, partitions)
+    if not hot:
+        return left.join(right, key, "left")
+    kind = right.schema[key].dataType
+    keys = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in hot], T.StructType([T.StructField(key, kind)])))
+    rest = left.join(keys, key, "left_anti").join(right.join(keys, key, "left_anti"), key, "left")
+    return rest.unionByName(left.join(keys, key, "left_semi").join(right.join(keys, key, "left_semi"), key))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.columns import amount, mean, ratio, total, whole_days
+from marketlens.functions.columns import amount, mean, ratio, total, weighted_total, whole_days
 from marketlens.functions.ranks import day_quantiles, quantile, quantiles
 from marketlens.functions.tables import counted, histogram, ranked, with_share
 from marketlens.sources.scratch import materialize
@@ -72,7 +72,7 @@ def describe_numeric(df: DataFrame, col: str) -> DataFrame:
     q = quantiles(values, col, (0.25, 0.5, 0.75), weight="n").scalar()
     spread = values.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("count"),
-        ratio(F.sum(x * n), F.sum("n")).alias("mean"),
+        ratio(weighted_total(values, col, "n"), F.sum("n")).alias("mean"),
         F.min(x).cast("double").alias("min"),
         F.max(x).cast("double").alias("max"),
     )

@@ -37,7 +37,7 @@ def reviews_enriched(
     product first, so that the review texts are shuffled once, for the join by order.
     """
     described = items.join(_with_category(products, translation), "product_id", "left")
-    return left_join_many(reviews, described, "order_id")
+    return left_join_many(reviews, described, "order_id", counted=items)
 
 
 def reviews_by_category(
@@ -61,7 +61,8 @@ def reviews_by_category(
             F.count(price).alias("price_rows"),
         )
     )
-    return left_join_many(reviews, per_category, "order_id").withColumn(
+    # An order has at most a row per category, so no order is hot on this side.
+    return reviews.join(per_category, "order_id", "left").withColumn(
         "item_rows", F.coalesce("item_rows", F.lit(1))
     )
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlens.functions.columns import shortened, whole_days
-from marketlens.functions.tables import histogram, left_join_many, with_growth
+from marketlens.functions.tables import histogram, hot_keys, left_join_many, with_growth
 from marketlens.operators import (
     customers,
     operations,
@@ -297,6 +297,18 @@ def test_left_join_keeps_everything(frame):
     assert got == sorted([("a", 1, 10), ("a", 1, 11), ("b", 2, None), (None, 3, None)], key=str)
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string", "decimal(10,0)"])
+def test_left_join_with_hot_keys_keeps_everything(spark, kind):
+    left = spark.sql(f"SELECT CAST(id % 7 AS {kind}) AS k, id AS l FROM range(20) UNION ALL SELECT NULL, 99")
+    hot = f"SELECT CAST(if(id % 10 < 8, id % 2, id % 11) AS {kind}) AS k, id AS r FROM range(4000) UNION ALL SELECT NULL, -1"
+    right = spark.sql(hot).repartition(6)
+    assert sorted(map(str, hot_keys(right, "k", partitions=6))) == ["0", "1"]
+    assert hot_keys(right.limit(0), "k") == [] and hot_keys(right, "k", partitions=1) == []
+    plain = sorted(rows(left.join(right, "k", "left")), key=str)
+    assert sorted(rows(left_join_many(left, right, "k", partitions=6)), key=str) == plain
+    assert sorted(rows(left_join_many(left, right, "k")), key=str) == plain
+
+
 def test_map_point_is_the_smallest_complete_pair(frame, orders):
     places = frame([("c1", "x", "a"), ("c2", "y", "a")], CUSTOMER)
     points = frame(
@@ -410,3 +422,13 @@ def test_newest_reviews_come_first(spark):
     rows = [("a", dt.datetime(2018, 1, 2)), ("b", None), ("c", dt.datetime(2018, 3, 1)), ("d", dt.datetime(2018, 1, 2))]
     table = spark.createDataFrame(rows, "review_id string, review_creation_date timestamp_ntz")
     assert [r.review_id for r in reviews.sort_reviews(table).collect()] == ["c", "a", "d", "b"]
+
+
+def test_description_of_amounts_with_eight_decimals(spark):
+    small = spark.sql("SELECT CAST(0.00000004 AS decimal(28,8)) AS x FROM range(3)")
+    got = operations.describe_numeric(small, "x").first()
+    assert got["mean"] == pytest.approx(4e-08, rel=1e-15) and got["min"] == 4e-08 and got["std"] == pytest.approx(0, abs=1e-20)
+    large = spark.sql("SELECT CAST(12345678901234567890.00000001 AS decimal(28,8)) AS x FROM range(1000)")
+    assert operations.describe_numeric(large, "x").first()["mean"] == 12345678901234567890.00000001
+    mixed = spark.sql("SELECT CAST(v AS decimal(28,8)) AS x FROM VALUES ('-0.00000001'), ('0.00000003'), ('-2.5'), (NULL) AS t(v)")
+    assert operations.describe_numeric(mixed, "x").first()["mean"] == pytest.approx(-2.49999998 / 3, rel=1e-15)

@@ -40,10 +40,11 @@ def test_period_filter_reaches_the_scan(spark, folder):
     assert "o_totalprice" not in plan
 
 
-def test_left_rows_are_shuffled_once(spark, folder, shuffled_joins):
+def test_both_sides_are_read_and_shuffled_once_without_hot_keys(spark, folder, shuffled_joins):
     shop = Shop(spark, folder)
-    plan = executed(periods.orders_with_items(shop.orders, shop.items))
-    assert "ReusedExchange" in plan
+    joined = periods.orders_with_items(shop.orders, shop.items)
+    assert scans(joined, "l_orderkey") == (1, 2) and scans(joined, "o_orderkey")[0] == 1
+    assert "LeftOuter" in executed(joined) and "LeftAnti" not in executed(joined)
 
 
 def test_hot_key_on_the_right_is_split(spark, shuffled_joins):

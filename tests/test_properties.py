@@ -1,8 +1,13 @@
 """Relations that must hold between results."""
 
+from decimal import Context, Decimal, localcontext
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from marketlens.functions.columns import weighted_total
 from marketlens.operators import overview, reviews
 from marketlens.plans.registry import queries
 from marketlens.plans.shop import Shop
@@ -122,3 +127,17 @@ def test_hot_order_does_not_become_all_its_pairs(spark):
     assert kpis.avg_rating == (5 * pairs + 2 * single) / (pairs + single)
     assert kpis.avg_price == 1.0
     assert kpis.positive_pct == pairs / (30_000 + single) * 100
+
+
+@settings(max_examples=12, deadline=None)
+@given(
+    st.sampled_from([(28, 8), (18, 2), (12, 0), (20, 18), (10, 10)]),
+    st.lists(st.tuples(st.integers(-(10**28), 10**28), st.integers(1, 10**9)), min_size=1, max_size=30),
+)
+def test_weighted_totals_keep_all_digits(spark, kind, rows):
+    digits, places = kind
+    rows = [(Decimal(x % 10**digits if x > 0 else -(-x % 10**digits)).scaleb(-places, Context(prec=60)), n) for x, n in rows]
+    df = spark.createDataFrame(rows, f"x decimal({digits},{places}), n bigint")
+    with localcontext(Context(prec=80)):
+        exact = sum(x * n for x, n in rows)
+    assert df.agg(weighted_total(df, "x", "n").alias("t")).first().t == float(exact)
