@@ -308,6 +308,19 @@ QUERIES = {
         _key_check("products", "v_products", "product_id"),
         _key_check("product_cat", "v_translation", "product_category_name"),
     )),
+    "q01_quarantined_rows": """
+        SELECT 'order_items' AS "table", count(*) FILTER (order_id % 100 <> 0) AS n_rows,
+            count(*) FILTER (order_id % 100 <> 0) * 2 + count(order_item_id) FILTER (order_id % 100 <> 0)
+            + count(product_id) FILTER (order_id % 100 <> 0) + count(seller_id) FILTER (order_id % 100 <> 0)
+            + count(price) FILTER (order_id % 100 <> 0) - count(*) FILTER (order_id % 100 <> 0 AND freight_value IS NULL) AS n_values,
+            count(*) FILTER (order_id % 100 = 0) AS n_quarantined
+        FROM v_items
+        UNION ALL
+        SELECT 'order_payments', count(*) FILTER (order_id % 100 <> 0),
+            sum(1 + (payment_type IS NOT NULL)::int + (payment_value IS NOT NULL)::int + (payment_installments IS NOT NULL)::int)
+                FILTER (order_id % 100 <> 0),
+            count(*) FILTER (order_id % 100 = 0)
+        FROM v_payments""",
     "q02_period_columns": """
         SELECT *, strftime(order_purchase_timestamp, '%Y-%m') AS month,
             CAST(year(order_purchase_timestamp) AS int) AS year,
@@ -319,6 +332,9 @@ QUERIES = {
         SELECT CAST(min(order_purchase_timestamp) AS date) AS min_date,
             CAST(max(order_purchase_timestamp) AS date) AS max_date FROM v_orders""",
     "q06_filter_period": "SELECT * EXCLUDE (year_month) FROM v_period",
+    "q06_month_folders": "SELECT * EXCLUDE (year_month) FROM v_period",
+    "q07_bucketed_items": """
+        SELECT * FROM v_items WHERE order_id IN (SELECT order_id FROM v_period)""",
     "q07_restrict_to_orders": """
         SELECT * FROM v_items WHERE order_id IN (SELECT order_id FROM v_period)""",
     "q08_previous_period": "SELECT * FROM v_previous",

@@ -19,7 +19,7 @@ from marketlens.operators import (
     strategy,
 )
 from marketlens.plans.shop import PERIOD, Shop
-from marketlens.sources import reader, scratch, writer
+from marketlens.sources import layout, reader, scratch, writer
 from marketlens.sources.schemas import FILES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,38 @@ def load_tables(shop: Shop) -> DataFrame:
     return reader.row_counts(reader.load_tables(shop.spark, root, ".csv"))
 
 
+def quarantined_rows(shop: Shop) -> DataFrame:
+    """Writes items and payments as lines of which those of every hundredth order lack their last cell, and loads them."""
+    root = scratch.new_path(shop.spark, "lines")
+    tables = {"order_items": shop.items, "order_payments": shop.payments}
+    for table, df in tables.items():
+        cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+        line = F.when(F.col("order_id") % 100 == 0, F.concat_ws(",", *cells[:-1])).otherwise(F.concat_ws(",", *cells))
+        lines = df.select(line.alias(",".join(df.columns)))
+        lines.write.options(header=True, sep="\u0001").csv(f"{root}/{table}.csv")
+    broken = f"{root}/broken"
+    loaded = {t: reader.load_table(shop.spark, f"{root}/{t}.csv", t, quarantine=broken) for t in tables}
+    return reader.row_counts(loaded, broken)
+
+
+def _by_month(shop: Shop) -> tuple[DataFrame, DataFrame]:
+    """Orders and items, written by month and in buckets, and read again."""
+    root, buckets = scratch.new_path(shop.spark, "by-month"), 8
+    layout.write_by_month(layout.with_month(shop.orders), f"{root}/orders", buckets)
+    layout.write_by_month(layout.with_order_month(shop.items, shop.orders), f"{root}/items", buckets)
+    return tuple(layout.read_by_month(shop.spark, f"{root}/{t}", buckets) for t in ("orders", "items"))
+
+
+def month_folders(shop: Shop) -> DataFrame:
+    orders, _ = _by_month(shop)
+    return layout.period_orders(orders, *PERIOD).drop(layout.MONTH)
+
+
+def bucketed_items(shop: Shop) -> DataFrame:
+    orders, items = _by_month(shop)
+    return layout.period_rows(items, orders, *PERIOD).drop(layout.MONTH)
+
+
 def key_violations(shop: Shop) -> DataFrame:
     return reader.key_violations(shop.catalog)
 
@@ -209,11 +241,14 @@ BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     # Sources and periods
     "q01_load_tables": load_tables,
     "q01_key_violations": key_violations,
+    "q01_quarantined_rows": quarantined_rows,
     "q02_period_columns": period_columns,
     "q03_orders_with_payments": lambda s: periods.orders_with_payments(s.orders, s.payments),
     "q04_orders_with_items": lambda s: periods.orders_with_items(s.orders, s.items),
     "q05_period_bounds": lambda s: periods.period_bounds(s.orders),
     "q06_filter_period": _orders,
+    "q06_month_folders": month_folders,
+    "q07_bucketed_items": bucketed_items,
     "q07_restrict_to_orders": lambda s: periods.restrict_to_orders(s.items, _orders(s)),
     "q08_previous_period": lambda s: periods.previous_period(s.orders, *PERIOD),
     "q08_previous_payments": previous_payments,

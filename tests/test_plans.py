@@ -13,9 +13,9 @@ from marketlens.operators import customers, operations, periods, products
 from marketlens.plans import registry
 from marketlens.plans.registry import queries
 from marketlens.plans.shop import PERIOD, Shop
-from marketlens.sources import scratch
+from marketlens.sources import layout, scratch
 
-LAZY = [n for n in queries() if not n.startswith(("q01", "q60"))]
+LAZY = [n for n in queries() if not n.startswith(("q01", "q60", "q06_month", "q07_bucketed"))]
 
 
 def executed(df):
@@ -156,3 +156,16 @@ def test_delivery_times_are_counted_once(spark, folder, frames):
     found = operations.delivery_time_distribution(operations.delivered_orders(shop.orders))
     assert "o_orderdate" not in executed(found)
     assert len(frames) == 1 and scans(frames[0], "o_orderdate")[0] == 1
+
+
+def test_periods_read_their_months_and_join_without_a_shuffle(spark, folder, shuffled_joins):
+    shop = Shop(spark, folder)
+    orders, items = registry._by_month(shop)
+    plan = executed(layout.period_rows(items, orders, *PERIOD)).split("+- == Initial Plan ==")[0]
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert plan.count("PartitionFilters: [isnotnull(purchase_month") == 2
+    months = orders.select(layout.MONTH).distinct().count()
+    read = re.findall(r"SelectedBucketsCount: 8 out of 8", plan)
+    assert len(read) == 2 and months > 13
+    plan = executed(periods.orders_with_items(orders, items.drop(layout.MONTH)))
+    assert "Exchange hashpartitioning(order_id" not in plan.split("+- == Initial Plan ==")[0]

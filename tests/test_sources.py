@@ -6,7 +6,8 @@ from decimal import Decimal
 import pytest
 
 from marketlens.plans.shop import Shop
-from marketlens.sources.reader import key_violations, load_table, load_tables, typed
+from marketlens.sources import layout
+from marketlens.sources.reader import has_broken_quotes, key_violations, load_table, load_tables, row_counts, typed
 from marketlens.sources.schemas import COLUMNS, FILES
 from marketlens.sources.scratch import clean, drop, materialize, new_path, scratch_dir
 from marketlens.sources.writer import read_reviews, write_reviews
@@ -147,3 +148,52 @@ def test_scratch_tables_can_be_dropped_and_nothing_else(spark, tmp_path):
     with pytest.raises(ValueError, match="not written by this application"):
         drop(spark, str(tmp_path))
     assert tmp_path.exists()
+
+
+def test_files_are_split_only_where_no_cell_is(spark, tmp_path):
+    header = "order_id,payment_type,payment_value,payment_installments\n"
+    whole, broken = tmp_path / "a.csv", tmp_path / "b.csv"
+    whole.write_text(header + "".join(f'o{i},"ca""rd, {i}",{i}.5,1\n' for i in range(20_000)))
+    broken.write_text(header + 'o1,"ca\nrd",1.5,1\no2,"x",2,1\n')
+    assert (has_broken_quotes(spark, str(whole)), has_broken_quotes(spark, str(broken))) == (False, True)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64KB")
+    try:
+        loaded = load_table(spark, str(whole), "order_payments")
+        assert loaded.rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert loaded.count() == 20_000 and loaded.where("order_id = 'o7'").first().payment_type == 'ca"rd, 7'
+    assert load_table(spark, str(broken), "order_payments").orderBy("order_id").first().payment_type == "ca\nrd"
+
+
+@pytest.mark.parametrize("breaks", [False, True])
+def test_broken_rows_go_to_quarantine(spark, tmp_path, breaks):
+    rows = ["o1,card,1.5,1", "o2,card", "o3,card,2,1,more", 'o4,"a, b",3,2', ",,,", *(['o5,"a\nb",4,1'] if breaks else [])]
+    (tmp_path / "p.csv").write_text("order_id,payment_type,payment_value,payment_installments\n" + "\n".join(rows) + "\n")
+    folder = str(tmp_path / "broken")
+    loaded = load_table(spark, str(tmp_path / "p.csv"), "order_payments", quarantine=folder)
+    assert sorted(str(r.order_id) for r in loaded.collect()) == sorted(["o1", "o4", "None", *(["o5"] if breaks else [])])
+    refused = spark.read.parquet(folder).collect()
+    assert sorted((r.table, r.broken_row.strip()) for r in refused) == [("order_payments", "o2,card"), ("order_payments", "o3,card,2,1,more")]
+    counts = row_counts({"order_payments": loaded, "none": spark.range(0)}, folder)
+    assert {r["table"]: (r.n_rows, r.n_quarantined) for r in counts.collect()} == {"order_payments": (3 + breaks, 2), "none": (0, 0)}
+
+
+def test_other_headers_in_one_table_are_refused(spark, tmp_path):
+    (tmp_path / "p.csv").mkdir()
+    (tmp_path / "p.csv" / "a.csv").write_text("order_id,payment_type,payment_value,payment_installments\no1,card,1,1\n")
+    (tmp_path / "p.csv" / "b.csv").write_text("payment_type,order_id,payment_value,payment_installments\ncard,o2,1,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        load_table(spark, str(tmp_path / "p.csv"), "order_payments", quarantine=str(tmp_path / "q")).collect()
+
+
+def test_tables_by_month(spark, orders, tmp_path):
+    table = orders(("o1", "c", "2017-12-31 23:59:59"), ("o2", "c", "2018-01-01 00:00:00"), ("o3", "c", None), ("o4", "c", "2018-02-10 00:00:00"))
+    items = spark.createDataFrame([("o1", 1), ("o2", 2), ("o2", 3), ("o3", 4), ("zz", 5), (None, 6)], "order_id string, n int")
+    layout.write_by_month(layout.with_month(table), str(tmp_path / "orders"), 4)
+    layout.write_by_month(layout.with_order_month(items, table), str(tmp_path / "items"), 4)
+    assert {p.name for p in (tmp_path / "items").glob(f"{layout.MONTH}=*")} == {f"{layout.MONTH}={m}" for m in ("2017-12", "2018-01", "none")}
+    stored, sold = (layout.read_by_month(spark, str(tmp_path / t), 4) for t in ("orders", "items"))
+    assert stored.count() == 4 and sold.count() == 6
+    assert [r.order_id for r in layout.period_orders(stored, "2018-01-01", "2018-02-09").collect()] == ["o2"]
+    assert sorted(r.n for r in layout.period_rows(sold, stored, "2018-01-01", "2018-01-31").collect()) == [2, 3]
