@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html import unescape
 
 TOKEN = re.compile(
@@ -36,6 +37,13 @@ LEFT_OUT_WORDS = frozenset(
     " discussion footer pagination pager widget toolbar login skip".split()
 )
 FRAMES = frozenset("html body main article".split())  # class and id words say nothing against these
+#: Within an article only these containers can be named out, and only if their names say nothing else.
+CONTAINERS = frozenset("div section ul ol dl table details".split())
+NEUTRAL_WORDS = frozenset(
+    "area bar block body box btn button buttons container content entry form group holder icons inline inner item items js link"
+    " links list module outer panel post posts row section slot stories thread title unit wrap wrapper article articles"
+    " bottom top left right the a id".split()
+)
 PAGE_HEAD_WORDS = frozenset("header masthead topbar".split())  # left out unless inside an article
 
 
@@ -71,8 +79,11 @@ def _named_out(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     """Whether class or id say that an element is no content."""
     if not attributes or tag in FRAMES:
         return False
-    words = set(re.split(r"[^a-z0-9]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
-    return not LEFT_OUT_WORDS.isdisjoint(words) or (not in_article and not PAGE_HEAD_WORDS.isdisjoint(words))
+    words = set(re.findall(r"[a-z0-9]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
+    if in_article:
+        said = {w for w in words - NEUTRAL_WORDS if not w.isdigit()}
+        return tag in CONTAINERS and bool(said) and said <= LEFT_OUT_WORDS
+    return not LEFT_OUT_WORDS.isdisjoint(words) or not PAGE_HEAD_WORDS.isdisjoint(words)
 
 
 def parse(html: str, names: bool = True) -> Node:
@@ -179,11 +190,10 @@ def leaves(node: Node) -> list[Node]:
 
 
 def main_blocks(root: Node) -> list[Node]:
-    """The text leaves of the articles; of a main element, or the whole page, if there is none."""
+    """The text leaves of the articles, unless a main element (the whole page, if there is none) has more
+    than twice their text: then these are teasers in it, and it has the text."""
     kept = [n for n in leaves(root) if not n.out]
     inside = [n for n in kept if n.article]
-    if inside:
-        return inside
     mains, waiting = [], [root]
     while waiting:
         one = waiting.pop()
@@ -193,7 +203,12 @@ def main_blocks(root: Node) -> list[Node]:
             mains.append(one)
         else:
             waiting.extend(reversed(one.children))
-    return [n for m in mains for n in leaves(m) if not n.out] or kept
+    wider = [n for m in mains for n in leaves(m) if not n.out] or kept
+    return inside if inside and 2 * _length(inside) >= _length(wider) else wider
+
+
+def _length(blocks: list[Node]) -> int:
+    return sum(len(w) for n in blocks for w in n.text)
 
 
 def number(root: Node) -> None:
@@ -206,7 +221,7 @@ def number(root: Node) -> None:
         waiting.extend(reversed(one.children))
 
 
-#: Deeper nodes get no slots, and longer lists of children (after equal ends) are matched in order.
+#: Deeper nodes get no slots; in longer lists of children (after equal ends) each takes the next one with its label.
 DEEPEST = 200
 LONGEST = 400
 
@@ -242,7 +257,9 @@ def _size(a: Node, b: Node, memory: dict, depth: int) -> int:
     if key not in memory:
         left, right, same = _middle(a, b)
         inner = sum(_size(x, y, memory, depth + 1) for x, y in same)
-        if left and right and max(len(left), len(right)) <= LONGEST:
+        if left and right and max(len(left), len(right)) > LONGEST:
+            inner += sum(_size(x, y, memory, depth + 1) for x, y in _in_order(left, right))
+        elif left and right:
             inner += _table(left, right, memory, depth + 1)[-1][-1]
         memory[key] = 1 + inner
     return memory[key]
@@ -263,6 +280,22 @@ def _middle(a: Node, b: Node) -> tuple[list[Node], list[Node], list[tuple[Node,
     return left[start : len(left) - end], right[start : len(right) - end], same
 
 
+def _in_order(left: list[Node], right: list[Node]) -> list[tuple[Node, Node]]:
+    """Pairs of equal labels: each node with the next one of its label that is left, if there is one."""
+    places: dict[str, list[int]] = {}
+    for j, y in enumerate(right):
+        places.setdefault(y.label, []).append(j)
+    at, pairs = 0, []
+    for x in left:
+        own = places.get(x.label, [])
+        k = bisect_left(own, at)
+        # A partner far ahead would use up all others before it: only as far as the lists are apart.
+        if k < len(own) and own[k] - at <= max(LONGEST, abs(len(left) - len(right))):
+            pairs.append((x, right[own[k]]))
+            at = own[k] + 1
+    return pairs
+
+
 def _table(left: list[Node], right: list[Node], memory: dict, depth: int) -> list[list[int]]:
     rows = [[0] * (len(right) + 1)]
     for x in left:
@@ -288,11 +321,7 @@ def _match(a: Node, b: Node, memory: dict, depth: int) -> None:
     if not left or not right:
         return
     if max(len(left), len(right)) > LONGEST:
-        following = iter(right)
-        for x in left:
-            y = next((y for y in following if y.label == x.label), None)
-            if y is None:
-                return
+        for x, y in _in_order(left, right):
             _match(x, y, memory, depth + 1)
         return
     rows = _table(left, right, memory, depth + 1)

@@ -11,9 +11,9 @@ second time for their text rather than kept. Wrappers and templates are
 broadcast if their counted size is small, and joined by host otherwise, where adaptive execution
 splits large hosts.
 
-Defined results: null and empty pages give an empty text; without a host or with few pages of the host there
-is no template and only the element rules hold; repeated rows give a text each and count each; an
-empty table gives an empty result; broken markup is read as far as it goes; other columns are ignored.
+Defined results: null and empty pages give an empty text; without a host or with few different pages of the host there
+is no template and only the element rules hold; repeated rows give a text each and count once for the template, so copies
+of an article do not make it one; a page is never emptied by the template; an empty table gives an empty result; broken markup is read as far as it goes; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,8 +49,9 @@ def _sized(df: DataFrame, column: str) -> DataFrame:
 
 
 def wrappers(pages: DataFrame, id_col: str, min_pages: int) -> DataFrame:
-    """``host, pages, wrapper``: the page with the smallest identifier of each host with enough pages."""
-    hosts = pages.filter("host IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.min(id_col).alias("first"))
+    """``host, pages, wrapper``: the page with the smallest identifier of each host with enough different pages."""
+    hosts = pages.filter("host IS NOT NULL").groupBy("host", F.xxhash64("html").alias("page")).agg(F.min(id_col).alias("first"))
+    hosts = hosts.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.min("first").alias("first"))
     hosts = stored(hosts.filter((F.col("pages") >= min_pages) & F.col("first").isNotNull()), "hosts")
     some = in_buckets_of(pages, hosts.select(F.col("first").alias(id_col)), id_col)
     found = some.select(F.col("host").alias("own"), F.col(id_col).alias("id"), "html").join(
@@ -76,6 +77,14 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
             yield list(zip(*(c.to_pylist() for c in batch.slice(low, BATCH_PAGES).columns)))
 
 
+def different(pages: DataFrame) -> DataFrame:
+    """``host, html`` of every page once. Only pages that may be repeated are shuffled."""
+    keyed = pages.filter("host IS NOT NULL").select("host", "html", F.xxhash64("host", "html").alias("page"))
+    repeated = stored(keyed.groupBy("page").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("page"), "repeated-pages")
+    alone = in_buckets_of(keyed, repeated, "page", keep=False)
+    return alone.unionByName(in_buckets_of(keyed, repeated, "page").dropDuplicates(["page"])).drop("page")
+
+
 def slot_counts(pages: DataFrame, wrapped: DataFrame) -> DataFrame:
     """``host, slot, hash, n``: how often a slot of a host has a text, added up in the tasks first."""
     source = pages.select("host", "html").join(_sized(wrapped.select("host", "wrapper"), "wrapper"), "host")
@@ -121,7 +130,8 @@ def extracted(pages: DataFrame, layouts: DataFrame) -> DataFrame:
             if wrapper is not None:
                 dom.align(root, _wrapper(wrapper))
             main = dom.main_blocks(root)
-        return [" ".join(n.text) for n in main if not template or (n.slot, _text_hash(n.text)) not in template]
+        varying = [n for n in main if not template or (n.slot, _text_hash(n.text)) not in template]
+        return [" ".join(n.text) for n in varying or main]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _rows(batches):
@@ -157,7 +167,7 @@ def main_text(
         F.col(id_col).alias("_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), text_of(html_col).alias("html")
     )
     wrapped = stored(wrappers(source, "_id", min_pages), "wrappers")
-    layouts = stored(templates(slot_counts(source, wrapped), wrapped, constant), "templates")
+    layouts = stored(templates(slot_counts(different(source), wrapped), wrapped, constant), "templates")
     found = extracted(source, layouts)
     return found.select(
         F.col("id").alias(id_col), F.col("url").alias(url_col), F.array_join("blocks", " ").alias("text"), "blocks"

@@ -41,7 +41,7 @@ def text_of(html):
     return " ".join(" ".join(n.text) for n in dom.main_blocks(dom.parse(html)))
 
 
-@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01"])
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
 def test_query(spark, folder):
     pages = {r.page_id: r for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
     rows = queries.op9_html_extraction(spark, folder).collect()
@@ -162,3 +162,50 @@ def test_wrapper_named_after_what_it_holds(spark):
     pages = ["<div class='with-menu'><nav>m</nav><article><p>a</p></article></div>", "<div id='content' class='no-sidebar'><p>b</p></div>"]
     df = spark.createDataFrame([(i, None, h) for i, h in enumerate(pages)], "page_id long, url string, html string")
     assert [r.text for r in html_extraction.main_text(df).orderBy("page_id").collect()] == ["a", "b"]
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<h2 id='related-work'>t</h2>", "<h2 id='comments'>t</h2>", "<p class='notice'>t</p>", "<div class='social history'>t</div>",
+        "<section class='widget-design'>t</section>", "<header class='banner'><h1>t</h1></header>", "<span class='promo'>t</span>",
+        "<ul class='list menu-of-the-day'><li>t</ul>",
+    ],
+)
+def test_article_text_is_kept_whatever_its_names(part):
+    assert text_of(f"<body><nav>m</nav><article><p>first</p>{part}<p>last</p></article>") == "first t last"
+
+
+@pytest.mark.parametrize("part", ["<div class='comments'>c</div>", "<ul id='share-buttons'><li>c</ul>", "<section class='related posts'>c</section>", "<div class='ad-slot-3'>c</div>"])
+def test_frames_within_an_article_are_left_out(part):
+    assert text_of(f"<article><p>first words</p>{part}<p>last words</p></article>") == "first words last words"
+
+
+def test_text_around_teasers():
+    intro = "A long introduction that is the text of this page, with a teaser after it."
+    assert text_of(f"<main><p>{intro}</p><article><h2>Teaser</h2></article></main>") == f"{intro} Teaser"
+
+
+def test_copies_of_a_page_do_not_become_template(spark):
+    """Eight copies and another page; then a host with enough pages, one of them many times."""
+    copy, other = "<div><h1>Head</h1><p>The text</p></div>", "<div><h1>Other</h1><p>More</p></div>"
+    rows = [(i, "https://a.example/", copy) for i in range(8)] + [(8, "https://a.example/", other)]
+    rows += [(100 + i, "https://b.example/", site(12)[i][2]) for i in range(12)] + [(200 + i, "https://b.example/", site(12)[1][2]) for i in range(60)]
+    found = {r.page_id: r.text for r in html_extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [found[i] for i in range(9)] == ["Head The text"] * 8 + ["Other More"]
+    assert {found[200 + i] for i in range(60)} == {"Story 1 Text 1 of it"} == {found[101]}
+
+
+def test_template_never_takes_a_whole_page(spark):
+    same = "<div><p>Nothing here yet</p></div>"
+    rows = [(i, "https://a.example/", f"{same}<!-- {i} -->") for i in range(9)]
+    found = html_extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in found} == {"Nothing here yet"}
+
+
+def test_long_lists_are_matched_past_labels_without_partner():
+    wrapper = dom.parse("<ul>" + "<li>a</li>" * 500 + "</ul><p>end</p>")
+    page = dom.parse("<ul><div>x</div>" + "<li>a</li><div>y</div>" * 500 + "</ul><p>end</p>")
+    dom.number(wrapper)
+    dom.align(page, wrapper)
+    assert sum(n.slot >= 0 for n in page.children[0].children) == 500
