@@ -20,6 +20,7 @@ identifier is not held out and has no label; other columns are carried along as
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -74,23 +75,35 @@ def words_of(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
-def swapped(text: str, terms=IDENTITY_TERMS) -> Iterator[str]:
-    """The text with the identity terms of one sentence exchanged for another group's, for every
-    sentence that has some."""
+def swapped_sentences(text: str, terms=IDENTITY_TERMS) -> Iterator[tuple[list[str], list[str]]]:
+    """The words of every sentence that has identity terms, and the same with each exchanged for another group's."""
     group = {t: row for row in terms for t in row}
     low = text.lower()
     if not any(t in low for t in group):
         return
     for sentence in SENTENCE.finditer(low):
-        present = [w for w in WORD.findall(sentence[0]) if w in group]
-        if present:
-            shift = 1 + len(present) % 2
-
-            def other(m: re.Match, shift: int = shift) -> str:
-                row = group.get(m[0])
-                return row[(row.index(m[0]) + shift) % len(row)] if row else m[0]
-
-            yield low[: sentence.start()] + WORD.sub(other, sentence[0]) + low[sentence.end() :]
+        words = WORD.findall(sentence[0])
+        shift = 1 + sum(w in group for w in words) % 2
+        other = [group[w][(group[w].index(w) + shift) % len(group[w])] if w in group else w for w in words]
+        if other != words:
+            yield words, other
+
+
+def swap_changes(text: str, terms=IDENTITY_TERMS) -> Counter:
+    """By what swapping the terms of one sentence takes from the features of the text and what it adds, the number
+    of such sentences. The words of the text are counted once, so time is linear in its length."""
+    words = Counter(WORD.findall(text.lower()))
+    holders = Counter(f for w in words for f in features({w}))
+    changes: Counter = Counter()
+    for old, new in swapped_sentences(text, terms):
+        less, more = Counter(old), Counter(new)
+        gone = [w for w in less if words[w] - less[w] + more[w] == 0]
+        come = [w for w in more if w not in words]
+        left, gained = Counter(f for w in gone for f in features({w})), Counter(f for w in come for f in features({w}))
+        taken = tuple(sorted(f for f, n in left.items() if holders[f] - n + gained[f] == 0))
+        added = tuple(sorted(f for f in gained if f not in holders))
+        changes[taken, added] += 1
+    return changes
 
 
 @dataclass
@@ -131,29 +144,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 
 def _example_features(sample: DataFrame, wanted: dict[str, int] | None, terms) -> DataFrame:
-    """``id, label, kind, features``: kind 0 for the document, 1 and -1 for what a swap takes and adds."""
+    """``key, label, n, features, added``: for the document ``n`` is 0; for swaps, the number of sentences that take
+    ``features`` and bring ``added``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, text, label in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "label"))):
-                own = features(words_of(text))
-                rows.append((key, label, 0, own))
-                if wanted is not None:
-                    for other in swapped(text, terms):
-                        new = features(words_of(other))
-                        rows += [(key, label, 1, own - new), (key, label, -1, new - own)]
-            names = [r[3] if wanted is None else [wanted[f] for f in r[3] if f in wanted] for r in rows]
+                if wanted is None:
+                    rows.append((key, label, 0, sorted(features(words_of(text))), []))
+                    continue
+                rows.append((key, label, 0, sorted(wanted[f] for f in features(words_of(text)) if f in wanted), []))
+                changes: Counter = Counter()
+                for parts, n in swap_changes(text, terms).items():
+                    changes[tuple(tuple(sorted(wanted[f] for f in part if f in wanted)) for part in parts)] += n
+                rows += [(key, label, n, *parts) for parts, n in sorted(changes.items())]
             kind = pa.list_(pa.string() if wanted is None else pa.int32())
-            yield pa.record_batch(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
-                 pa.array([r[2] for r in rows], pa.int32()), pa.array([sorted(n) for n in names], kind)],
-                ["key", "label", "kind", "features"],
-            )
+            kinds = (pa.int64(), pa.int32(), pa.int32(), kind, kind)
+            columns = zip(*rows) if rows else [[]] * len(kinds)
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "label", "n", "features", "added"])
 
     kind = "string" if wanted is None else "int"
     numbered = sample.select(F.xxhash64("id").alias("key"), "text", "label")
-    return numbered.mapInArrow(run, f"key bigint, label int, kind int, features array<{kind}>")
+    return numbered.mapInArrow(run, f"key bigint, label int, n int, features array<{kind}>, added array<{kind}>")
 
 
 def choose_features(sample: DataFrame, terms, limit: int, least: int) -> list[str]:
@@ -193,14 +206,15 @@ class _Sparse:
 
 
 def fit(examples: list[tuple[list[int], int]], changes: list[list[tuple[list[int], float]]], width: int,
-        penalty: float = PENALTY, fairness: float = FAIRNESS, rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
+        penalty: float = PENALTY, fairness: float = FAIRNESS, rounds: int = ROUNDS, swaps: int | None = None) -> tuple[float, np.ndarray]:
     """Bias and weights: logistic loss, L1 penalty and squared logit changes of the swaps, by accelerated
-    proximal gradient steps. A change is a list of (features, value) parts."""
+    proximal gradient steps. A change is a list of (features, value) parts; one that stands for n equal ones has
+    its values times the root of n, and ``swaps`` is the number of all."""
     x = _Sparse([(f, 1.0) for f, _ in examples])
     y = np.array([label for _, label in examples], dtype=float)
     parts = [(f, v, k) for k, change in enumerate(changes) for f, v in change]
     d, owner = _Sparse([(f, v) for f, v, _ in parts]), np.array([k for *_, k in parts], dtype=np.int64)
-    n, m = max(len(examples), 1), max(len(changes), 1)
+    n, m = max(len(examples), 1), max(swaps or len(changes), 1)
     penalty /= np.sqrt(n)
 
     def swap_change(theta):
@@ -247,12 +261,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not names:
         return None
     number = {f: i for i, f in enumerate(names)}
-    rows = _example_features(sample, number, terms).orderBy("key", "kind").collect()
-    examples = [(r["features"], r["label"]) for r in rows if r["kind"] == 0]
-    taken = [r["features"] for r in rows if r["kind"] == 1]
-    added = [r["features"] for r in rows if r["kind"] == -1]
-    changes = [[(a, 1.0), (b, -1.0)] for a, b in zip(taken, added)]
-    bias, weights = fit(examples, changes, len(names), penalty, fairness)
+    rows = _example_features(sample, number, terms)
+    examples = rows.filter("n = 0").select("features", "label").orderBy("key", "label", "features").collect()
+    # Equal changes of all documents are one row: no more than there are kinds of swaps, whatever the texts.
+    changes = rows.filter("n > 0").groupBy("features", "added").agg(F.sum("n").alias("n")).orderBy("features", "added").collect()
+    parts = [[(r["features"], r["n"] ** 0.5), (r["added"], -(r["n"] ** 0.5))] for r in changes]
+    known = [(r["features"], r["label"]) for r in examples]
+    bias, weights = fit(known, parts, len(names), penalty, fairness, swaps=sum(r["n"] for r in changes))
     return Model(bias, {f: float(w) for f, w in zip(names, weights) if w})
 
 

@@ -1,4 +1,6 @@
+import math
 import random
+import time
 import zlib
 
 import pytest
@@ -46,11 +48,60 @@ def test_swaps_lower_the_bias(spark):
 
 
 def test_swapped_sentences():
-    text = "Some Muslims spoke. Nothing here. A gay man!"
-    found = list(toxicity.swapped(text))
-    assert len(found) == 2 and all("nothing here." in f for f in found)
-    assert "muslims" not in found[0] and "gay man" in found[0] and "muslims" in found[1] and "gay man" not in found[1]
-    assert list(toxicity.swapped("nobody")) == []
+    found = list(toxicity.swapped_sentences("Some Muslims spoke. Nothing here. A gay man!"))
+    assert [old for old, _ in found] == [["some", "muslims", "spoke"], ["a", "gay", "man"]]
+    assert "muslims" not in found[0][1] and not {"gay", "man"} & set(found[1][1])
+    assert list(toxicity.swapped_sentences("nobody")) == []
+
+
+def plain_changes(text):
+    """What each swap takes and adds, from whole texts."""
+    own, found = toxicity.features(toxicity.words_of(text)), []
+    sentences = [m[0] for m in toxicity.SENTENCE.finditer(text.lower())]
+    for k, sentence in enumerate(sentences):
+        for _, new in toxicity.swapped_sentences(sentence):
+            other = toxicity.features(toxicity.words_of(" ".join([*sentences[:k], " ".join(new), *sentences[k + 1 :]])))
+            found.append((tuple(sorted(own - other)), tuple(sorted(other - own))))
+    return sorted(found)
+
+
+def test_changes_like_whole_texts():
+    rng = random.Random(7)
+    terms = [t for row in toxicity.IDENTITY_TERMS for t in row] + ["muslimsx", "mensch", "walked", "garden", "oldest", "whitened"]
+    for _ in range(300):
+        text = "".join(rng.choice(terms) + rng.choice([" ", " ", ". ", "\n"]) for _ in range(rng.randint(0, 25)))
+        assert sorted(toxicity.swap_changes(text).elements()) == plain_changes(text)
+
+
+def test_gradient_of_the_loss():
+    """At the fitted weights no coordinate can be moved to a lower loss."""
+    rng = random.Random(3)
+    examples = [(sorted(rng.sample(range(8), 3)), int(rng.random() < 0.5)) for _ in range(60)]
+    changes = [[([rng.randrange(8)], 1.0), ([rng.randrange(8)], -1.0)] for _ in range(20)]
+    bias, theta = toxicity.fit(examples, changes, 8, 0.2, 0.7, rounds=3000)
+
+    def loss(bias, theta):
+        total = 0.0
+        for on, y in examples:
+            z = bias + sum(theta[f] for f in on)
+            total += (math.log1p(math.exp(z)) - y * z) / len(examples)
+        total += 0.2 / len(examples) ** 0.5 * sum(map(abs, theta))
+        return total + 0.7 / len(changes) * sum(sum(v * sum(theta[f] for f in on) for on, v in c) ** 2 for c in changes)
+
+    least = loss(bias, theta)
+    for k in range(8):
+        for step in (-0.01, 0.01):
+            moved = list(theta)
+            moved[k] += step
+            assert loss(bias, moved) > least - 1e-7
+    assert min(loss(bias - 0.01, theta), loss(bias + 0.01, theta)) > least - 1e-7
+
+
+def test_long_texts_take_linear_time(spark):
+    started = time.perf_counter()
+    changes = toxicity.swap_changes("Some muslims and a gay man walked. " * 150_000)
+    assert sum(changes.values()) == 150_000 and len(changes) == 1
+    assert time.perf_counter() - started < 30
 
 
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.01"])
