@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.columns import amount, ratio, shortened, timestamp, year_month
+from marketlens.functions.pages import OrderedRows, ordered_rows
 from marketlens.functions.tables import left_join_many, ranked
 
 CATEGORY = "product_category_name_english"
@@ -201,11 +202,8 @@ def search_reviews(reviews: DataFrame, term: str, regex: bool = True) -> DataFra
     )
 
 
-def sort_reviews(reviews: DataFrame, by: str = "date_desc") -> DataFrame:
-    """Sorted reviews, nulls last. ``by``: date_desc, score_desc, score_asc, price_desc, price_asc.
-
-    Ids break ties. They also let the sort divide the many reviews that share a score.
-    """
+def review_order(reviews: DataFrame, by: str = "date_desc") -> list[Column]:
+    """What ``sort_reviews`` sorts by."""
     orders = {
         "date_desc": F.desc_nulls_last("review_creation_date"),
         "score_desc": F.desc_nulls_last("review_score"),
@@ -216,7 +214,21 @@ def sort_reviews(reviews: DataFrame, by: str = "date_desc") -> DataFrame:
     if by not in orders:
         raise ValueError(f"by must be one of {sorted(orders)}, not {by!r}")
     ids = ("review_id", "order_id", "order_item_id", "product_id", "seller_id")
-    return reviews.orderBy(orders[by], *(F.asc(c) for c in ids if c in reviews.columns))
+    return [orders[by], *(F.asc(c) for c in ids if c in reviews.columns)]
+
+
+def sort_reviews(reviews: DataFrame, by: str = "date_desc") -> DataFrame:
+    """Sorted reviews, nulls last. ``by``: date_desc, score_desc, score_asc, price_desc, price_asc.
+
+    Ids break ties. They also let the sort divide the many reviews that share a score. To show page after page,
+    sort once with ``review_pages``.
+    """
+    return reviews.orderBy(*review_order(reviews, by))
+
+
+def review_pages(reviews: DataFrame, by: str = "date_desc") -> OrderedRows:
+    """The sorted reviews, stored, for ``page(first, size)``."""
+    return ordered_rows(reviews, *review_order(reviews, by))
 
 
 def review_table(reviews: DataFrame) -> DataFrame:

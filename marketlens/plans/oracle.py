@@ -592,6 +592,16 @@ QUERIES = {
         f"q57_sort_by_{by}": f"SELECT {REVIEW_COLUMNS} FROM v_large"
         for by in ("date", "score", "score_asc", "price", "price_asc")
     },
+    "q57_review_page": """
+        SELECT * FROM (
+            SELECT row_number() OVER (ORDER BY review_score DESC NULLS LAST, review_id NULLS FIRST, order_id NULLS FIRST,
+                order_item_id NULLS FIRST, product_id NULLS FIRST, seller_id NULLS FIRST) - 1 AS position,
+                review_id, order_id, order_item_id, review_score, price
+            FROM v_enriched)
+        WHERE position BETWEEN 80 AND 99""",
+    "q15_customers_by_month": """
+        SELECT strftime(order_purchase_timestamp, '%Y-%m') AS month, count(DISTINCT customer_id) AS customers, true AS is_close
+        FROM v_orders GROUP BY 1""",
     "q58_review_display": """
         SELECT concat('⭐ ', review_score, '/5') AS "Rating",
             coalesce(review_comment_title, '(Tanpa Judul)') AS "Judul Ulasan",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlens.functions import distinct
 from marketlens.functions.columns import mean
 from marketlens.functions.tables import histogram, with_growth
 from marketlens.operators import (
@@ -177,6 +178,22 @@ def _category_reviews(shop: Shop) -> DataFrame:
     return reviews.filter_reviews(_enriched(shop), CATEGORY)
 
 
+def review_page(shop: Shop) -> DataFrame:
+    """The fifth page of twenty of all reviews, best first."""
+    found = reviews.review_pages(_enriched(shop), "score_desc").page(80, 20)
+    return found.select("position", "review_id", "order_id", "order_item_id", "review_score", "price")
+
+
+def customers_by_month(shop: Shop) -> DataFrame:
+    """Customers by month from sketches, and whether these are within four standard errors of the exact numbers."""
+    months = shop.orders.select(F.date_format("order_purchase_timestamp", "yyyy-MM").alias("month"), "customer_id")
+    exact = months.groupBy("month").agg(F.count_distinct("customer_id").alias("customers"))
+    found = distinct.counts(distinct.distinct_sketches(months, "month", "customer_id")).join(exact, "month")
+    apart = F.abs(F.col("n_distinct") - F.col("customers"))
+    bound = F.greatest(4 * distinct.standard_error() * F.col("customers"), F.lit(1.0))
+    return found.select("month", "customers", (apart <= bound).alias("is_close"))
+
+
 def _by_category(shop: Shop) -> DataFrame:
     """The compact grain, for everything that counts or averages."""
     return reviews.reviews_by_category(
@@ -261,6 +278,7 @@ BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     "q12_orders_per_customer": lambda s: overview.orders_per_customer_pct(_orders(s)),
     "q13_avg_items_per_order": lambda s: overview.avg_items_per_order(_orders(s), s.items),
     "q14_top_payment_method": lambda s: overview.top_payment_method(s.payments),
+    "q15_customers_by_month": customers_by_month,
     "q15_new_vs_returning": lambda s: overview.new_vs_returning(_orders(s)),
     "q16_state_orders_revenue": lambda s: overview.state_orders_revenue(
         _orders(s), s.payments, s.customers
@@ -353,6 +371,7 @@ BUILDERS: dict[str, Callable[[Shop], DataFrame]] = {
     ),
     "q57_sort_by_date": lambda s: reviews.sort_reviews(_category_reviews(s), "date_desc"),
     "q57_sort_by_score": lambda s: reviews.sort_reviews(_category_reviews(s), "score_desc"),
+    "q57_review_page": review_page,
     "q57_sort_by_score_asc": lambda s: reviews.sort_reviews(_category_reviews(s), "score_asc"),
     "q57_sort_by_price": lambda s: reviews.sort_reviews(_category_reviews(s), "price_desc"),
     "q57_sort_by_price_asc": lambda s: reviews.sort_reviews(_category_reviews(s), "price_asc"),
