@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import text_of
+from marketlens.llm.common import stored, text_of
 
 MAX_LABELLED = 20_000
 MAX_FEATURES = 20_000
@@ -252,6 +252,12 @@ def fit(examples: list[tuple[list[int], int]], changes: list[list[tuple[list[int
     return float(bias), theta
 
 
+def _numbers(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as views of one array: four bytes a number."""
+    lists = column.combine_chunks()
+    return np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1]) if len(lists) else []
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           terms=IDENTITY_TERMS, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES,
           min_documents: int = MIN_DOCUMENTS, penalty: float = PENALTY, fairness: float = FAIRNESS) -> Model | None:
@@ -261,13 +267,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not names:
         return None
     number = {f: i for i, f in enumerate(names)}
-    rows = _example_features(sample, number, terms)
-    examples = rows.filter("n = 0").select("features", "label").orderBy("key", "label", "features").collect()
+    rows = stored(_example_features(sample, number, terms), "example-features")
+    examples = rows.filter("n = 0").select("key", "features", "label").orderBy("key").toArrow()
     # Equal changes of all documents are one row: no more than there are kinds of swaps, whatever the texts.
-    changes = rows.filter("n > 0").groupBy("features", "added").agg(F.sum("n").alias("n")).orderBy("features", "added").collect()
-    parts = [[(r["features"], r["n"] ** 0.5), (r["added"], -(r["n"] ** 0.5))] for r in changes]
-    known = [(r["features"], r["label"]) for r in examples]
-    bias, weights = fit(known, parts, len(names), penalty, fairness, swaps=sum(r["n"] for r in changes))
+    changes = rows.filter("n > 0").groupBy("features", "added").agg(F.sum("n").alias("n")).orderBy("features", "added").toArrow()
+    times = changes["n"].to_pylist()
+    parts = [[(a, n**0.5), (b, -(n**0.5))] for a, b, n in zip(_numbers(changes["features"]), _numbers(changes["added"]), times)]
+    known = list(zip(_numbers(examples["features"]), examples["label"].to_pylist()))
+    bias, weights = fit(known, parts, len(names), penalty, fairness, swaps=sum(times))
     return Model(bias, {f: float(w) for f, w in zip(names, weights) if w})
 
 
