@@ -101,6 +101,14 @@ def hot_keys(df: DataFrame, key: str, partitions: int | None = None) -> list:
     return row["keys"] if row else []
 
 
+def _may_be_skewed(df: DataFrame) -> bool:
+    """Whether all rows together exceed the size from which Spark splits a partition, by Spark's own estimate, which costs no job."""
+    session, plan = df.sparkSession._jsparkSession, df._jdf.queryExecution().optimizedPlan()
+    least = session.sessionState().conf().getConfString("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes")
+    utils = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils
+    return int(plan.stats().sizeInBytes()) > utils.byteStringAsBytes(least)
+
+
 def left_join_many(left: DataFrame, right: DataFrame, key: str, counted: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """Left join on a key that may repeat on the right, however unevenly.
 
@@ -110,7 +118,8 @@ def left_join_many(left: DataFrame, right: DataFrame, key: str, counted: DataFra
     ordinary left join. A hot key has a match, so its rows are an inner join, which splits on both
     sides. Rows without a key go the ordinary way, where they are on the side that can be split.
     """
-    hot = hot_keys(right if counted is None else counted, key, partitions)
+    keyed = right if counted is None else counted
+    hot = hot_keys(keyed, key, partitions) if _may_be_skewed(keyed) else []
     if not hot:
         return left.join(right, key, "left")
     kind = right.schema[key].dataType

@@ -306,7 +306,15 @@ def test_left_join_with_hot_keys_keeps_everything(spark, kind):
     assert hot_keys(right.limit(0), "k") == [] and hot_keys(right, "k", partitions=1) == []
     plain = sorted(rows(left.join(right, "k", "left")), key=str)
     assert sorted(rows(left_join_many(left, right, "k", partitions=6)), key=str) == plain
-    assert sorted(rows(left_join_many(left, right, "k")), key=str) == plain
+    name = "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"
+    spark.conf.set(name, "16b")
+    try:
+        joined = left_join_many(left, right, "k", partitions=6)
+        assert "Union" in joined._jdf.queryExecution().analyzed().toString().splitlines()[0]
+        assert sorted(rows(joined), key=str) == plain
+        assert sorted(rows(left_join_many(left, right, "k")), key=str) == plain
+    finally:
+        spark.conf.unset(name)
 
 
 def test_map_point_is_the_smallest_complete_pair(frame, orders):
