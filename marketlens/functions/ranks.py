@@ -7,62 +7,72 @@ sorted, each in its own task.
 
 Spark samples the rows to choose the ranges and may choose others when it plans again, so
 the partitioned rows are stored once (``scratch.materialize``), in a folder per partition, before
-they are read twice. Building one of these tables therefore runs a job. A wanted partition is sorted
-in one task: set ``spark.sql.shuffle.partitions`` so that one fits an executor.
+they are read twice. Building one of these tables therefore runs jobs. A wanted partition of more than
+``MOST_ROWS`` rows is not sorted as it is: its rows are divided into narrower ranges, and the wanted ones of those again
+if need be, so that no task sorts more rows whatever the table and ``spark.sql.shuffle.partitions``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from marketlens.sources.scratch import materialize
 
+#: Rows that one task sorts.
+MOST_ROWS = 1_000_000
+
+_WANTED = "part bigint, before bigint, total bigint, wanted array<struct<pos: int, rank: bigint>>, n bigint"
+
 
 def keys_at_ranks(
-    df: DataFrame, keys: Sequence[str], ranks: str, weight: str | None = None
+    df: DataFrame, keys: Sequence[str], ranks: str, weight: str | None = None, most_rows: int = MOST_ROWS
 ) -> DataFrame:
     """The keys at given 1-based ranks of the order by ``keys``.
 
     ``ranks`` is a SQL array of ranks in terms of ``total``, the number of rows. A
     ``weight`` counts a row that often; rows should be distinct in ``keys``, so
-    pre-aggregate repeated values into one weighted row. Output: ``pos`` (position in
+    pre-aggregate repeated values into one weighted row. Rows with equal keys cannot be divided and are
+    sorted together, even if they are more than ``most_rows``. Output: ``pos`` (position in
     ``ranks``), ``key`` (struct), ``total``.
     """
     names = [f"`{k}`" for k in keys]
     times = f"`{weight}`" if weight else "1"
-    stored = materialize(
+    ranges = materialize(
         df.selectExpr(*names, f"CAST({times} AS bigint) AS w")
         .repartitionByRange(*keys)
-        .selectExpr(f"struct({', '.join(names)}) AS key", "w", "spark_partition_id() AS part"),
+        .selectExpr(f"struct({', '.join(names)}) AS key", "w", "CAST(spark_partition_id() AS bigint) AS part"),
         "ranks",
         partition_by="part",
     )
 
-    # One row per partition from here to the join. This reads the weights alone, and the join the
-    # folders of the wanted partitions.
+    # One row per range, from the weights alone. At most one per wanted rank is left: few enough for the driver
+    # whatever the table.
     wanted = (
-        stored.groupBy("part")
-        .agg(F.expr("sum(w) AS size"))
+        ranges.groupBy("part")
+        .agg(F.expr("sum(w) AS size"), F.expr("count(*) AS n"))
         .selectExpr(
-            "part",
+            "part", "n",
             "sum(size) OVER (ORDER BY part) AS upto",
             "sum(size) OVER (ORDER BY part) - size AS before",
             "sum(size) OVER () AS total",
         )
-        .selectExpr("*", f"transform({ranks}, (r, i) -> struct(i AS pos, r AS rank)) AS ranks")
-        .selectExpr(
-            "part", "before", "total",
-            "filter(ranks, r -> r.rank > before AND r.rank <= upto) AS wanted",
-        )
+        .selectExpr("*", f"transform({ranks}, (r, i) -> struct(i AS pos, CAST(r AS bigint) AS rank)) AS ranks")
+        .selectExpr("part", "before", "total", _within("ranks"), "n")
         .where("size(wanted) > 0")
+        .collect()
     )
+    largest = max((r.n for r in wanted), default=0)
+    while largest > most_rows:
+        ranges, wanted = _narrowed(ranges, wanted, most_rows)
+        before, largest = largest, max(r.n for r in wanted)
+        if largest == before:
+            break
 
-    # At most one row per wanted rank: small enough to broadcast whatever the table.
     return (
-        stored.join(F.broadcast(wanted), "part")
+        _rows_of(ranges, wanted)
         .selectExpr(
             "key", "w", "total", "wanted",
             "before + sum(w) OVER (PARTITION BY part ORDER BY key"
@@ -74,6 +84,43 @@ def keys_at_ranks(
     )
 
 
+def _within(ranks: str) -> str:
+    return f"filter({ranks}, r -> r.rank > before AND r.rank <= upto) AS wanted"
+
+
+def _rows_of(ranges: DataFrame, wanted: Sequence[Row]) -> DataFrame:
+    """The rows of the wanted ranges, with what is known of these; only their folders are read."""
+    known = ranges.sparkSession.createDataFrame(wanted, _WANTED)
+    return ranges.where(F.col("part").isin([r.part for r in wanted])).join(F.broadcast(known.drop("n")), "part")
+
+
+def _narrowed(ranges: DataFrame, wanted: Sequence[Row], most_rows: int) -> tuple[DataFrame, list[Row]]:
+    """The rows of the wanted ranges in narrower ones, and the wanted ones of those."""
+    pieces = 2 * -(-sum(r.n for r in wanted) // most_rows) + 1
+    numbered = [Row(**{**r.asDict(), "part": k}) for k, r in enumerate(sorted(wanted, key=lambda r: r.part))]
+    number = F.array_position(F.array(*(F.lit(p).cast("bigint") for p in sorted(r.part for r in wanted))), F.col("part")) - 1
+    # A new range may take the end of one old range and the start of the next; its number tells them apart.
+    narrower = materialize(
+        ranges.where(F.col("part").isin([r.part for r in wanted]))
+        .select("key", "w", number.alias("old"))
+        .repartitionByRange(pieces, "old", "key")
+        .selectExpr("key", "w", f"old * {pieces} + spark_partition_id() AS part"),
+        "ranks",
+        partition_by="part",
+    )
+    known = ranges.sparkSession.createDataFrame(numbered, _WANTED)
+    sizes = narrower.groupBy("part").agg(F.expr("sum(w) AS size"), F.expr("count(*) AS pieces"))
+    found = (
+        sizes.withColumn("old", F.expr(f"part DIV {pieces}"))
+        .join(F.broadcast(known.select(F.col("part").alias("old"), F.col("before").alias("start"), "total", F.col("wanted").alias("ranks"))), "old")
+        .selectExpr("*", "start + sum(size) OVER (PARTITION BY old ORDER BY part) AS upto")
+        .selectExpr("*", "upto - size AS before")
+        .selectExpr("part", "before", "total", _within("ranks"), "pieces AS n")
+        .where("size(wanted) > 0")
+    )
+    return narrower, found.collect()
+
+
 def quantiles(
     df: DataFrame, col: str, probs: Sequence[float], weight: str | None = None
 ) -> DataFrame:

@@ -1,9 +1,12 @@
 """Distributed order statistics against numpy and pandas on whole small samples."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
 
+from marketlens.functions import ranks
 from marketlens.functions.ranks import day_quantiles, keys_at_ranks, quantiles
 from marketlens.operators.customers import rfm_scores
 
@@ -86,4 +89,49 @@ def test_second_read_touches_wanted_partitions_only(spark):
     found = keys_at_ranks(df, ["value"], "array(10)", weight="n")
     assert found.first().key.value == 9
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "dynamicpruning" in plan
+    filters = re.findall(r"PartitionFilters: \[(.*?)\], ", plan)
+    assert filters and all(re.search(r"part#\d+L? (= 0|IN \(0\))", f) for f in filters)
+
+
+@pytest.mark.parametrize("most_rows", [10, 100, 10_000])
+def test_narrow_ranges_give_the_same_keys(spark, monkeypatch, most_rows):
+    random = np.random.default_rng(4)
+    # Nearly all keys lie close together, and one has a third of the weight.
+    values = np.unique(np.concatenate([random.integers(0, 10**9, 50), 5 * 10**8 + random.integers(0, 9000, 6000)]))
+    weights = random.integers(1, 4, len(values))
+    weights[len(values) // 3] = weights.sum() // 2
+    df = spark.createDataFrame(pd.DataFrame({"value": values, "n": weights})).repartition(5)
+    rounds, sizes = [], []
+    narrowed = ranks._narrowed
+
+    def counted(*args):
+        found = narrowed(*args)
+        rounds.append(len(found[1]))
+        sizes.append(max(r.n for r in found[1]))
+        return found
+
+    monkeypatch.setattr(ranks, "_narrowed", counted)
+    wanted = "transform(sequence(0, 40), k -> CAST(1 + k * (total - 1) DIV 40 AS bigint))"
+    hits = keys_at_ranks(df, ["value"], wanted, weight="n", most_rows=most_rows).collect()
+    expanded = np.repeat(values, weights)
+    assert sorted((r.pos, r.key.value) for r in hits) == [(k, expanded[k * (len(expanded) - 1) // 40]) for k in range(41)]
+    assert {r.total for r in hits} == {len(expanded)}
+    if most_rows < 10_000:
+        # All rows are in few ranges at first; no wanted range holds more than the bound at last.
+        assert rounds and sizes[-1] <= most_rows and max(rounds) <= 41
+    else:
+        assert not rounds
+
+
+def test_equal_keys_end_the_narrowing(spark):
+    df = spark.range(500).selectExpr("1 AS value")
+    hits = keys_at_ranks(df, ["value"], "array(1L, 250L, total)", most_rows=10).collect()
+    assert sorted((r.pos, r.key.value, r.total) for r in hits) == [(k, 1, 500) for k in range(3)]
+
+
+def test_narrowing_keeps_quantiles(spark, monkeypatch):
+    monkeypatch.setattr(keys_at_ranks, "__defaults__", (None, 20))
+    values = np.round(np.random.default_rng(8).lognormal(3, 2, 4001), 2)
+    df = spark.createDataFrame(pd.DataFrame({"x": values})).repartition(5)
+    assert quantiles(df, "x", PROBS).first().q == list(np.quantile(values, PROBS))
+    assert quantiles(df.limit(0), "x", (0.5,)).first().q == [None]
