@@ -91,10 +91,10 @@ def key_violations(shop: Shop) -> DataFrame:
 
 
 def export_reviews(shop: Shop, fmt: str) -> DataFrame:
-    """Writes the whole review table and reads it back."""
+    """Writes the whole review table, compressed, and reads it back."""
     table = reviews.review_table(_enriched(shop))
     path = scratch.new_path(shop.spark, f"reviews-{fmt}")
-    writer.write_reviews(table, path, fmt)
+    writer.write_reviews(table, path, fmt, "gzip")
     return writer.read_reviews(shop.spark, path, fmt, table.schema)
 
 

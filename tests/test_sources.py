@@ -1,10 +1,14 @@
 """Loading and exporting files."""
 
 import datetime as dt
+import os
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
+from marketlens.operators.reviews import review_table
+from marketlens.plans.registry import _enriched, export_reviews
 from marketlens.plans.shop import Shop
 from marketlens.sources import layout
 from marketlens.sources.reader import has_broken_quotes, key_violations, load_table, load_tables, row_counts, typed
@@ -197,3 +201,21 @@ def test_tables_by_month(spark, orders, tmp_path):
     assert stored.count() == 4 and sold.count() == 6
     assert [r.order_id for r in layout.period_orders(stored, "2018-01-01", "2018-02-09").collect()] == ["o2"]
     assert sorted(r.n for r in layout.period_rows(sold, stored, "2018-01-01", "2018-01-31").collect()) == [2, 3]
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_export_of_repeated_messages_is_compressed(spark, tmp_path, fmt):
+    """A message is exported with each item of its order, so the files hold it many times over."""
+    days = "timestamp_ntz'1998-01-01 00:00:00'"
+    make = lambda name, sql: spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    make("orders", f"SELECT id AS o_orderkey, id AS o_custkey, 'F' AS o_orderstatus, 1.0D AS o_totalprice, {days} AS o_orderdate, '5-LOW' AS o_orderpriority FROM range(20)")
+    make("lineitem", f"SELECT id % 20 AS l_orderkey, id % 3 AS l_partkey, 0L AS l_suppkey, CAST(id AS int) AS l_linenumber, 1.0D AS l_quantity, 2.5D AS l_extendedprice, 0.0D AS l_discount, 0.1D AS l_tax, 'N' AS l_returnflag, 'O' AS l_linestatus, {days} AS l_shipdate FROM range(2000)")
+    make("part", "SELECT id AS p_partkey, 'a' AS p_name, 'SMALL' AS p_type, 1 AS p_size, 1.0D AS p_retailprice FROM range(3)")
+    make("documents", "SELECT id AS doc_id, concat('line, \"', repeat(uuid(), 50), '\\n', 'end') AS text, 'web' AS source FROM range(20)")
+    shop = Shop(spark, str(tmp_path))
+    back = export_reviews(shop, fmt)
+    texts = shop.table("documents").agg(F.sum(F.length("text"))).first()[0]
+    written = sum(os.path.getsize(f.removeprefix("file://")) for f in back.inputFiles())
+    assert written < 3 * texts  # each text is in a hundred rows
+    table = review_table(_enriched(shop))
+    assert back.count() == 2000 and back.exceptAll(table).isEmpty() and table.exceptAll(back).isEmpty()
