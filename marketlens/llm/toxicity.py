@@ -189,20 +189,35 @@ def choose_features(sample: DataFrame, terms, limit: int, least: int) -> list[st
 
 
 class _Sparse:
-    """Rows of feature numbers with a common value each."""
+    """Rows of feature numbers with a common value each. Held in four bytes a number; ``PART`` rows at a time are spread out."""
+
+    PART = 1000
 
     def __init__(self, rows: list[tuple[list[int], float]]):
         self.sizes = np.array([len(r) for r, _ in rows], dtype=np.int64)
-        self.ids = np.concatenate([np.array(r, dtype=np.int64) for r, _ in rows]) if rows else np.zeros(0, np.int64)
-        self.values = np.repeat(np.array([v for _, v in rows], dtype=float), self.sizes)
-        self.of = np.repeat(np.arange(len(rows)), self.sizes)
+        self.ids = np.concatenate([np.array(r, dtype=np.int32) for r, _ in rows]) if rows else np.zeros(0, np.int32)
+        self.values = np.array([v for _, v in rows], dtype=float)
         self.rows = len(rows)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).tolist()
+
+    def parts(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """First and last row, the feature numbers of the rows between, and the row of each, from 0."""
+        for low in range(0, self.rows, self.PART):
+            high = min(low + self.PART, self.rows)
+            of = np.repeat(np.arange(high - low), self.sizes[low:high])
+            yield low, high, self.ids[self.starts[low] : self.starts[high]].astype(np.int64), of
 
     def times(self, theta: np.ndarray) -> np.ndarray:
-        return np.bincount(self.of, weights=theta[self.ids] * self.values, minlength=self.rows)
+        found = np.zeros(self.rows)
+        for low, high, ids, of in self.parts():
+            found[low:high] = np.bincount(of, weights=theta[ids] * self.values[low:high][of], minlength=high - low)
+        return found
 
     def back(self, residual: np.ndarray, width: int) -> np.ndarray:
-        return np.bincount(self.ids, weights=residual[self.of] * self.values, minlength=width)
+        found = np.zeros(width)
+        for low, high, ids, of in self.parts():
+            np.add.at(found, ids, (residual[low:high] * self.values[low:high])[of])  # one after the other, as if in one piece
+        return found
 
 
 def fit(examples: list[tuple[list[int], int]], changes: list[list[tuple[list[int], float]]], width: int,

@@ -140,3 +140,18 @@ def test_without_labels(spark):
         model = toxicity.train(docs, none)
         assert model is None and toxicity.without_toxic(docs, model).count() == 20
     assert toxicity.toxicity_scores(docs.limit(0), toxicity.train(docs, labels)).collect() == []
+
+
+def test_rows_of_features_take_four_bytes_a_number():
+    """What the driver holds while it fits, and the sums, to the last bit."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(rng.choice(500, size=rng.integers(0, 40), replace=False).tolist(), float(v)) for v in rng.normal(size=2500)]
+    held = toxicity._Sparse(rows)
+    numbers = sum(len(r) for r, _ in rows)
+    assert sum(x.nbytes for x in vars(held).values() if isinstance(x, np.ndarray)) <= 4 * numbers + 16 * len(rows)
+    ids, values = np.concatenate([r for r, _ in rows]).astype(np.int64), np.repeat([v for _, v in rows], held.sizes)
+    of, theta, residual = np.repeat(np.arange(len(rows)), held.sizes), rng.normal(size=500), rng.normal(size=len(rows))
+    assert (held.times(theta) == np.bincount(of, weights=theta[ids] * values, minlength=len(rows))).all()
+    assert (held.back(residual, 500) == np.bincount(ids, weights=residual[of] * values, minlength=500)).all()
